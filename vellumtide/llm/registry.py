@@ -6,6 +6,10 @@ import importlib
 
 #: Query name, module and whether the module has an ORACLE.
 _QUERIES = {
+    "op2_packing": ("packing", False),
+    "op4_toxicity": ("toxicity", False),
+    "op5_fingerprints": ("fingerprints", False),
+    "op8_pii": ("pii", False),
     "op10_mixing": ("mixing", True),
 }
 
