@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
@@ -38,6 +40,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession, model) -> Broadcast:
+    """Broadcasts a model by value, so that executors need no copy of its class; `shipped` opens it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def shipped(sent: Broadcast):
+    return pickle.loads(sent.value)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective)."""
     x = x ^ (x >> U(30))

@@ -6,10 +6,15 @@ import importlib
 
 #: Query name, module and whether the module has an ORACLE.
 _QUERIES = {
+    "op1_suffixdedup": ("suffixdedup", False),
     "op2_packing": ("packing", False),
+    "op3_langid": ("langid", False),
     "op4_toxicity": ("toxicity", False),
     "op5_fingerprints": ("fingerprints", False),
+    "op6_ann": ("annindex", False),
+    "op7_warcaudit": ("warcaudit", True),
     "op8_pii": ("pii", False),
+    "op9_jaccard": ("jaccard", False),
     "op10_mixing": ("mixing", True),
 }
 
