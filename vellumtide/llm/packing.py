@@ -29,7 +29,7 @@ CAPACITY = 1024
 END_ID = 2
 RANK_BUCKETS = 1024
 #: Nodes of the branch-and-bound search beyond the first dive, and fillings kept at a node.
-MAX_NODES, WIDTH = 20_000, 6
+MAX_NODES, WIDTH = 1_500, 6
 #: How byte-level BPE of this kind splits text before merging (fixed value).
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
