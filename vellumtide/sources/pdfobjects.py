@@ -165,9 +165,6 @@ class _Null:
     def __bool__(self):
         return False
 
-    def __reduce__(self):
-        return "Null"
-
 
 Null = _Null()
 
