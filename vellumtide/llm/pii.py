@@ -54,7 +54,7 @@ _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|arroba|dot|\.|punto|point|punkt)\s*[
 _BARE_DOT = re.compile(r"\s(?:dot|punto|point|punkt)\s|\s\.\s", re.I)
 _DOT_AT = re.compile(_DOT, re.I)
 #: Last labels that make a host name of words joined by a bare "dot": fixed values, and any two letters.
-_ENDS = re.compile(r"(?:com|org|net|edu|gov|mil|int|info|biz|name|app|dev|example|test|invalid|local|[a-z]{2})\Z", re.I)
+_ENDS = re.compile(r"(?:com|org|net|edu|gov|mil|int|info|biz|name|app|dev|example|test|invalid|local|[a-z]{2})", re.I)
 _SPACED_AT = re.compile(r"\s@|@\s")
 
 
@@ -174,7 +174,7 @@ def rewrite(text: str) -> Rewritten | None:
         told = any(d[0] != "." for d in dots)
         if at == "@" and not told and not any(d[0] != "." for d in _DOT_AT.finditer(m[1])) or bare and not told:
             continue  # nothing disguised, or just the word "at" before a host name
-        if bare and any(d[0].strip().isalpha() for d in dots) and not _ENDS.search(domain):
+        if bare and any(d[0].strip().isalpha() for d in dots) and not _ENDS.fullmatch(domain[dots[-1].end() :]):
             continue  # prose
         start = m.start(1)
         if bare or at.strip() == "@":  # the words before a bare sign may be prose: only the last one is the name

@@ -35,6 +35,8 @@ LENGTH = 100
 GRAM = 40
 #: Share of sampled documents that makes an anchor frequent, and the sampled share.
 FREQUENT, SAMPLED = 0.004, 1 / 32
+#: Sampled documents that an anchor must stand in at least to count as frequent.
+LEAST_SAMPLED = 8
 _SEGMENT = 4 << 20
 _FLUSH = 1_000_000
 _LOWEST = -(1 << 63)
@@ -181,7 +183,7 @@ def _frequent(docs: DataFrame, length: int, gram: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n, pa.int64())], ["a", "n"])
 
     total = some.count()
-    least = max(8, int(FREQUENT * total))
+    least = max(LEAST_SAMPLED, int(FREQUENT * total))
     got = some.mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a").collect()
     return np.sort(np.array([r["a"] for r in got], np.int64).view(np.uint64))
 
