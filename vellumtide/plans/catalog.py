@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -481,3 +482,126 @@ def pdf_peek(spark, sf_dir):
 def pdf_open(spark, sf_dir):
     p = readers.parse(typesetter.files(docs(spark, sf_dir)))
     return p.per_page(lambda row: [(row["page_count"], len(row["glyphs"]["text"]))], "pages int, glyphs long", ["pages", "glyphs"]).drop("pno")
+
+
+def _inspected(files: DataFrame, make, columns: str) -> DataFrame:
+    """make(outline) gives one tuple for a file."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(it):
+        from vellumtide.sources.inspect import Outline
+        from vellumtide.sources.pdfobjects import Pdf
+
+        for pdf in it:
+            yield pd.DataFrame([(d, *make(Outline(Pdf(bytes(c))))) for d, c in zip(pdf["doc_id"], pdf["content"], strict=True)], columns=["doc_id", *names])
+
+    return files.select("doc_id", "content").mapInPandas(run, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, {columns}")
+
+
+@query("""SELECT doc_id, 2::INT AS pages, length(replace(text, chr(10), '')) + 5 * (2 - page) AS glyphs, (page - 1)::INT AS pno FROM documents, (VALUES (1), (2)) v(page)""")
+def insert_text(spark, sf_dir):
+    """A stamp on every document's page, which then comes twice, the copy without it; saved and parsed again."""
+    from vellumtide.operators import editing
+
+    def change(d):
+        editing.copy_page(d, 0)
+        editing.insert_text(d, 0, (72, 100), "stamp")
+
+    p = readers.parse(editing.edit(typesetter.files(docs(spark, sf_dir)), change, object_streams=True))
+    return p.per_page(lambda row: [(row["page_count"], len(row["glyphs"]["text"]))], "pages int, glyphs long", ["pages", "glyphs"])
+
+
+@query("""SELECT doc_id, '1:one:1' AS toc, 'R:x-:7' AS label, 'http://h/' AS uri, 'Link,Highlight' AS kinds, 'a.txt=data' AS attached, 'New' AS title FROM documents""")
+def structure_roundtrip(spark, sf_dir):
+    """Outline, labels, link, highlight, attachment and title written into every document and read back."""
+    from vellumtide.operators import editing
+    from vellumtide.sources.pdfpage import info
+
+    def change(d):
+        editing.set_toc(d, [[1, "one", 1]])
+        editing.set_labels(d, [{"startpage": 0, "style": "R", "prefix": "x-", "firstpagenum": 7}])
+        editing.add_link(d, 0, (10, 10, 50, 30), "http://h/")
+        editing.add_highlight(d, 0, [(10, 10, 50, 30)])
+        editing.set_attachments(d, [{"name": "a.txt", "data": b"data"}])
+        editing.set_metadata(d, {"title": "New"})
+
+    def make(o):
+        a, (t,), (r,), (f,) = o.annotations(), o.toc(), o.labels(), o.attachments()
+        return ":".join(map(str, t)), f"{r['style']}:{r['prefix']}:{r['firstpagenum']}", a[0]["uri"], ",".join(x["type"] for x in a), f"{f['name']}={f['data'].decode()}", info(o.pdf)["title"]
+
+    files = editing.edit(typesetter.files(docs(spark, sf_dir)), change)
+    return _inspected(files, make, "toc string, label string, uri string, kinds string, attached string, title string")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'PdfFault: no PDF header' END AS error FROM documents""")
+def error_column(spark, sf_dir):
+    """Every tenth file is damaged: faults are rows, not failures."""
+    f = typesetter.files(docs(spark, sf_dir))
+    f = f.withColumn("content", F.when(F.col("doc_id") % 10 == 0, F.lit(b"junk")).otherwise(F.col("content")))
+    return readers.peek(f).select("doc_id", "error")
+
+
+@query("""SELECT doc_id, strlen(text) > 2000 AS stopped FROM documents""")
+def bomb_guard(spark, sf_dir):
+    """Texts as compressed streams, decoded under a limit of 2000 bytes."""
+
+    @F.pandas_udf("boolean")
+    def stopped(text: pd.Series) -> pd.Series:
+        import zlib
+
+        from vellumtide.errors import PdfFault
+        from vellumtide.sources.pdfobjects import inflate
+
+        def one(t):
+            try:
+                inflate(zlib.compress((t or "").encode()), 2000)
+                return False
+            except PdfFault:
+                return True
+
+        return pd.Series([one(t) for t in text])
+
+    return docs(spark, sf_dir).select("doc_id", stopped("text").alias("stopped"))
+
+
+@query("""SELECT doc_id, 0::INT AS pno, 153::INT AS width, floor((12 * (1 + length(text) - length(replace(text, chr(10), ''))) + 24) * 0.25::DOUBLE)::INT AS height, '89504e47' AS magic FROM documents""")
+def render_png(spark, sf_dir):
+    """Every document's page at a quarter of its size."""
+    from vellumtide.sources import raster
+
+    r = raster.render(typesetter.files(docs(spark, sf_dir)), scale=0.25)
+    return r.select("doc_id", "pno", "width", "height", F.lower(F.hex(F.substring("png", 1, 4))).alias("magic"))
+
+
+def _grid(spark, sf_dir) -> PageSource:
+    """Nations in five rows of five ruled cells."""
+    n = table(spark, sf_dir, "nation").groupBy(F.lit(0).cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("cells"))
+
+    def expand(record):
+        cols = [[] for _ in range(11)]
+        for c in record["cells"]:
+            x, y = 50.0 + 120 * (c["n_nationkey"] % 5), 60.0 + 30 * (c["n_nationkey"] // 5)
+            for i, ch in enumerate(c["n_name"]):
+                for col, v in zip(cols, (ch, x + 5 * i, y, 10.0, 5.0, 1.0, 0.0, 0, "F1", "Helvetica", 0)):
+                    col.append(v)
+        rules = [dict(zip(("x0", "y0", "x1", "y1", "horizontal"), r)) for r in [*((40.0 + 120 * k, 40.0, 40.0 + 120 * k, 190.0, False) for k in range(6)), *((40.0, 40.0 + 30 * k, 640.0, 40.0 + 30 * k, True) for k in range(6))]]
+        yield {"doc_id": record["doc_id"], "pno": 0, "glyphs": dict(zip(("text", "x", "y", "size", "advance", "dir_x", "dir_y", "wmode", "font_key", "font", "flags"), cols)), "rules": rules}
+
+    return PageSource(n, expand)
+
+
+@query("""SELECT 0::BIGINT AS doc_id, 0::INT AS pno, 0::BIGINT AS table_no, (n_nationkey // 5)::INT AS row, (n_nationkey % 5)::INT AS col, (40 + 120 * (n_nationkey % 5))::DOUBLE AS x0, (40 + 30 * (n_nationkey // 5))::DOUBLE AS y0,
+    (160 + 120 * (n_nationkey % 5))::DOUBLE AS x1, (70 + 30 * (n_nationkey // 5))::DOUBLE AS y1, n_name AS text FROM nation""")
+def grid_cells(spark, sf_dir):
+    return tables.cells(_grid(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT n_nationkey // 5 AS r, '| ' || string_agg(n_name, ' | ' ORDER BY n_nationkey) || ' |' AS line FROM nation GROUP BY ALL)
+    SELECT 0::BIGINT AS doc_id, 0::INT AS pno, 0::BIGINT AS table_no, string_agg(line || CASE WHEN r = 0 THEN chr(10) || '| --- | --- | --- | --- | --- |' ELSE '' END, chr(10) ORDER BY r) AS markdown FROM r""")
+def table_markdown(spark, sf_dir):
+    return tables.markdown_tables(_grid(spark, sf_dir))
+
+
+@query("""SELECT p_partkey, CASE WHEN rtrim(rtrim(printf('%.4f', p_retailprice / 8), '0'), '.') IN ('-0', '') THEN '0' ELSE rtrim(rtrim(printf('%.4f', p_retailprice / 8), '0'), '.') END AS n FROM part""")
+def pdf_number(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.pdf_number(F.col("p_retailprice") / 8).alias("n"))
