@@ -46,15 +46,13 @@ class Glyph:
     font: str
     flags: int
     seq: int = 0
+    #: The size, at least 1; whether the baseline runs more down than across.
+    em: float = 0.0
+    tilted: bool = False
 
-    @property
-    def em(self) -> float:
-        return max(self.size, 1.0)
-
-    @property
-    def tilted(self) -> bool:
-        """A baseline that runs more down than across."""
-        return abs(self.dy) > abs(self.dx)
+    def __post_init__(self):
+        self.em = self.size if self.size > 1.0 else 1.0
+        self.tilted = abs(self.dy) > abs(self.dx)
 
     def box(self) -> tuple[float, float, float, float]:
         if self.wmode == 1:
@@ -75,6 +73,9 @@ def glyphs_of(columns) -> list[Glyph]:
 
 
 def union_box(glyphs: list[Glyph]) -> tuple[float, float, float, float]:
+    if all(g.dx == 1.0 and g.wmode == 0 for g in glyphs):
+        top, bottom = min(g.y - ASCENT * g.size for g in glyphs), max(g.y + DESCENT * g.size for g in glyphs)
+        return min(g.x for g in glyphs), top, max(g.x + g.advance for g in glyphs), bottom
     boxes = [g.box() for g in glyphs]
     return min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)
 
@@ -102,6 +103,8 @@ class Line:
 
 def gap_before(prev: Glyph, cur: Glyph) -> float:
     """From the end of prev to cur, along prev's baseline."""
+    if prev.dx == 1.0:
+        return cur.x - prev.x - prev.advance
     return (cur.x - prev.x) * prev.dx + (cur.y - prev.y) * prev.dy - prev.advance
 
 
@@ -111,6 +114,8 @@ def spaced(prev: Glyph, cur: Glyph) -> bool:
 
 
 def _is_cjk(text: str) -> bool:
+    if text < "⺀":
+        return False
     shown = [c for c in text if not c.isspace()]
     return bool(shown) and all(CJK.match(c) for c in shown)
 
@@ -178,12 +183,9 @@ def segments(line: Line) -> list[Line]:
     """Parts of a line between wide gaps."""
     if line.vertical:
         return [line]
-    parts = [[line.glyphs[0]]]
-    for prev, cur in zip(line.glyphs, line.glyphs[1:]):
-        if gap_before(prev, cur) > LINE_SEGMENT_GAP * max(prev.em, cur.em):
-            parts.append([])
-        parts[-1].append(cur)
-    return [Line(p) for p in parts]
+    glyphs = line.glyphs
+    cuts = [i for i, (prev, cur) in enumerate(zip(glyphs, glyphs[1:]), 1) if gap_before(prev, cur) > LINE_SEGMENT_GAP * max(prev.em, cur.em)]
+    return [Line(glyphs[a:b]) for a, b in zip([0, *cuts], [*cuts, len(glyphs)])] if cuts else [line]
 
 
 def _boundary(parts: list[Line]) -> float | None:
