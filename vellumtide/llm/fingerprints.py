@@ -81,11 +81,12 @@ def _with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LOWEST)).alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)})
-    part = F.lit(0)
-    if cuts:
-        at = F.array(*map(F.lit, cuts)).cast("array<long>")
-        part = F.size(F.filter(at, lambda c: c <= F.col("_key")))
-    rows = rows.withColumn("_part", part)
+
+    @F.pandas_udf("int")
+    def part_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(cuts, np.int64), key.to_numpy(), "right").astype(np.int32))
+
+    rows = rows.withColumn("_part", part_of("_key"))
     ends = rows.groupBy("_part").agg(F.max("_key").alias("_key")).collect()  # one row a run
     ends = sorted((r["_part"], r["_key"]) for r in ends)
     if not ends:
