@@ -79,6 +79,8 @@ def _runs(hasher: Bytes, data: np.ndarray, offs: np.ndarray, length: int, gram:
     more = np.diff(np.r_[first, len(start)]) - 1
     s, a = start[first], h[anchor[first]]
     c = hasher.span(prefix, s, s + more + length) ^ mix((anchor[first] - s).astype(np.uint64) + U(7))
+    if frequent is not None:
+        a = mix(a + U(11))  # anchors are minima: their hashes crowd at 0, buckets need them spread
     if frequent is not None and len(frequent):
         c = np.where(hot[first], mix(hasher.span(prefix, s, s + length)), c)
         a = np.where(hot[first], c ^ U(0x5851F42D4C957F2D), a)
