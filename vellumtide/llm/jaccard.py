@@ -97,7 +97,8 @@ def _scan(docs: DataFrame, buckets: int, words: int, sim: int) -> DataFrame:
                 rank = np.arange(len(r)) - (np.cumsum(n) - n)[r]
                 keep = rank < _prefix(n, sim)[r]
                 rec = np.empty(int(keep.sum()), _REC)
-                rec["t"], rec["v"] = h[keep], node[r[keep]]
+                # Prefixes are the least hashes of a set: buckets need them spread.
+                rec["t"], rec["v"] = mix(h[keep] + U(13)), node[r[keep]]
                 recs.append(rec)
                 own.append((ids[x:y], node, n))
                 held += len(rec)
