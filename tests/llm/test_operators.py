@@ -333,3 +333,22 @@ def test_registry():
     names = set(entry.queries())
     assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
+
+
+def test_toxicity_counts_every_labelled_row(spark):
+    """A word of one in eighty toxic texts: a sample of the rows can't hold it often enough."""
+    rows, labels = [], []
+    for i in range(4000):
+        bad, r = i % 2, random.Random(i)
+        w = [r.choice(WORDS) for _ in range(12)]
+        if bad:
+            w[3:3] = ["vilequark"] * 3 if i % 160 == 1 else ["scummy"] * 3
+        rows.append((i, " ".join(w)))
+        labels.append((i, bad))
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    counted = {r["key"]: (r["toxic"], r["ordinary"]) for r in toxicity.beginnings(d.join(l, "doc_id")).collect()}
+    assert counted[int.from_bytes(b"vilequar", "big")] == (25, 0)
+    s = toxicity.fit(d, l, 300, 100)
+    out = [(5000, " ".join(["vilequark"] * 3 + WORDS[:12])), (5001, " ".join(WORDS[:15]))]
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(spark.createDataFrame(out, "doc_id long, text string"), s, ["doc_id"]).collect()}
+    assert got == {5000: 1, 5001: 0}
