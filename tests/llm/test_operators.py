@@ -352,3 +352,30 @@ def test_toxicity_counts_every_labelled_row(spark):
     out = [(5000, " ".join(["vilequark"] * 3 + WORDS[:12])), (5001, " ".join(WORDS[:15]))]
     got = {x["doc_id"]: x["predicted"] for x in toxicity.score(spark.createDataFrame(out, "doc_id long, text string"), s, ["doc_id"]).collect()}
     assert got == {5000: 1, 5001: 0}
+
+
+def fewest(items, capacity):
+    best = len(items)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(items):
+            best = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= items[i]:
+                j = rooms.index(r)
+                go(i + 1, [*rooms[:j], r - items[i], *rooms[j + 1 :]])
+        go(i + 1, [*rooms, capacity - items[i]])
+
+    items = sorted(items, reverse=True)
+    go(0, [])
+    return best
+
+
+def test_fillings_that_skip_a_fitting_length():
+    items = [60, 59, 27, 25, 14, 8, 7]
+    count = np.bincount(items, minlength=101)
+    assert sum(t for t, _ in packing.complete(count, 100)) == 2 == fewest(items, 100)

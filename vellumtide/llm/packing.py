@@ -3,8 +3,8 @@
 Only a document longer than a sequence is cut: full pieces at its end, the rest as its first piece. So every document gives at most one
 piece that needs company, and what matters for packing is how many pieces there are of each length. That histogram has at most
 `capacity` rows at any input size. Bin completion runs on it: around the largest open length it enumerates undominated
-fillings, applies the best one as often as the counts allow, and branches on the others while a bound on the waste leaves hope of
-fewer sequences than the best-fit incumbent. The outcome, a few thousand (pattern, times) rows, is what goes to the executors; pieces find
+fillings, applies the best one as often as the counts allow, and branches on the others while a bound on the waste leaves
+hope of fewer sequences than the best-fit incumbent. Two bounds, MAX_NODES and STEPS, end the search on large histograms; the incumbent stands then. The outcome, a few thousand (pattern, times) rows, is what goes to the executors; pieces find
 their slot by their rank among pieces of their length, counted in two levels, so no length gathers in one task.
 
 Defined cases: null text counts as empty and gives one piece, the end token alone; an empty table gives no rows; rows with one
@@ -28,8 +28,8 @@ from vellumtide.llm._kit import materialize, table
 CAPACITY = 1024
 END_ID = 2
 RANK_BUCKETS = 1024
-#: Nodes of the branch-and-bound search beyond the first dive, and fillings kept at a node.
-MAX_NODES, WIDTH = 1_500, 6
+#: Nodes of the branch-and-bound search beyond the first dive, and sets looked at by the enumeration of a node's fillings.
+MAX_NODES, STEPS = 1_500, 200
 #: How byte-level BPE of this kind splits text before merging (fixed value).
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -136,32 +136,40 @@ def _dominated(a: tuple, b: tuple) -> bool:
     return len(a) <= 8 and fit(a, b)
 
 
-def fillings(count: np.ndarray, below: np.ndarray, room: int, width: int = WIDTH) -> list[tuple]:
-    """Undominated sets of lengths that fit in room beside the largest piece, least waste first, then fewest pieces."""
-    if not below[min(room, len(below) - 1)]:
+def fillings(count: np.ndarray, below: np.ndarray, room: int, spare: int, steps: int = STEPS) -> list[tuple]:
+    """Undominated sets of lengths that fit in room beside the largest piece and leave at most `spare` of it, least waste first, then fewest pieces.
+
+    Every length is taken or skipped, sets of few pieces first; the last piece of a set is the largest that fits, for any other is dominated by it. What sums up to
+    no more than the largest single piece is dominated by that. After `steps` sets the enumeration ends with what it has found."""
+    alone = int(below[room])
+    if not alone:
         return [()]
-    found, first = {}, int(below[room])
-    while first:
-        got, left, used = [], room, Counter()
-        x = first
-        while x:
-            if count[x] > used[x]:
-                got.append(x)
-                used[x] += 1
-                left -= x
-                x = int(below[min(left, x)])
-            else:
-                x = int(below[x - 1])
-        found[tuple(got)] = left
-        if left == 0 and len(found) > 4 * width:
-            break
-        first = int(below[first - 1])
+    found = [(alone,)]
+    if alone < room:
+        number, upto, low = count.tolist(), below.tolist(), max(alone + 1, room - spare)
+        least, todo = int(np.flatnonzero(count)[0]), steps
+
+        def walk(got: tuple, left: int, top: int, k: int, need: int) -> None:
+            nonlocal todo
+            todo -= 1
+            x = upto[min(top, left - least * (k - 1))] if left >= least * k else 0
+            while x and x * k >= need and todo > 0:
+                if got.count(x) < number[x]:
+                    if k > 1:
+                        walk((*got, x), left - x, x, k - 1, need - x)
+                    else:
+                        found.append((*got, x))
+                        return
+                x = upto[x - 1]
+
+        for k in range(2, room // least + 1):
+            if todo <= 0:
+                break
+            walk((), room, alone, k, low)
     kept: list[tuple] = []
-    for f in sorted(found, key=lambda f: (found[f], len(f), [-x for x in f])):
+    for f in sorted(found, key=lambda f: (-sum(f), len(f), [-x for x in f])):
         if not any(_dominated(f, k) for k in kept):
             kept.append(f)
-        if len(kept) == width:
-            break
     return kept
 
 
@@ -215,7 +223,10 @@ def complete(count: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_N
                     done = done[1]
             continue
         options = []
-        for f in fillings(left, below, capacity - big):
+        left[big] -= 1
+        sets = fillings(left, _below(left), capacity - big, (bins - 1) * capacity - total - waste)
+        left[big] += 1
+        for f in sets:
             rest = left.copy()
             times, used = _apply(rest, big, f)
             lost = waste + times * (capacity - big - sum(f))
