@@ -379,3 +379,21 @@ def test_fillings_that_skip_a_fitting_length():
     items = [60, 59, 27, 25, 14, 8, 7]
     count = np.bincount(items, minlength=101)
     assert sum(t for t, _ in packing.complete(count, 100)) == 2 == fewest(items, 100)
+
+
+def test_bin_completion_against_brute_force():
+    r = random.Random(1)
+    for _ in range(300):
+        items = [r.randint(1, 60) if r.random() < 0.7 else r.choice([20, 25, 34, 40]) for _ in range(r.randint(5, 10))]
+        plan = packing.complete(np.bincount(items, minlength=101), 100)
+        held = Counter()
+        for t, used in plan:
+            assert sum(s * n for s, n in used.items()) <= 100
+            held += Counter({s: t * n for s, n in used.items()})
+        assert held == Counter(items) and sum(t for t, _ in plan) == fewest(items, 100), items
+
+
+def test_the_first_dive_is_free():
+    """The dive alone needs more nodes than the limit allows beyond it."""
+    items = [60, 59, 27, 25, 14, 8, 7]
+    assert sum(t for t, _ in packing.complete(np.bincount(items, minlength=101), 100, 1)) == 2

@@ -3,7 +3,7 @@
 Only a document longer than a sequence is cut: full pieces at its end, the rest as its first piece. So every document gives at most one
 piece that needs company, and what matters for packing is how many pieces there are of each length. That histogram has at most
 `capacity` rows at any input size. Bin completion runs on it: around the largest open length it enumerates undominated
-fillings, applies the best one as often as the counts allow, and branches on the others while a bound on the waste leaves
+fillings, applies the best one as often as the counts allow, and branches on the others, and on applying one once only, while a bound on the waste leaves
 hope of fewer sequences than the best-fit incumbent. Two bounds, MAX_NODES and STEPS, end the search on large histograms; the incumbent stands then. The outcome, a few thousand (pattern, times) rows, is what goes to the executors; pieces find
 their slot by their rank among pieces of their length, counted in two levels, so no length gathers in one task.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -204,36 +204,61 @@ def best_fit(count: np.ndarray, capacity: int) -> tuple[int, list]:
 
 
 def complete(count: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> list[tuple[int, Counter]]:
-    """(times, lengths) rows that hold every piece of the histogram `count` (index: length)."""
+    """(times, lengths) rows that hold every piece of the histogram `count` (index: length).
+
+    Limited discrepancy search: nodes come in the order of how far they depart from the first choices, so with few nodes left to visit
+    the largest open lengths are branched on as well as the last ones."""
     count = np.asarray(count, np.int64)
     total = int((count * np.arange(len(count))).sum())
     goal = lower_bound(count, capacity)
     bins, plan = best_fit(count, capacity)
-    stack, nodes = [(count, (), 0, 0)], 0
-    while stack and bins > goal and nodes < max_nodes:
-        left, done, used_bins, waste = stack.pop()
-        nodes += 1
+    # By departures: (what is left or None, to be taken from the chain of patterns; chain; sequences; waste).
+    waves: dict[int, deque] = {0: deque([(count, (), 0, 0)])}
+    nodes, dived = 0, False
+    while waves and bins > goal and nodes < max_nodes:
+        away = min(waves)
+        left, done, used_bins, waste = waves[away].popleft()
+        if not waves[away]:
+            del waves[away]
+        nodes += dived
+        if waste > (bins - 1) * capacity - total:
+            continue
+        if left is None:
+            left, chain = count.copy(), done
+            while chain:
+                (times, used), chain = chain
+                for s, c in used.items():
+                    left[s] -= times * c
         below = _below(left)
         big = int(below[-1])
         if not big:
+            dived = True
             if used_bins < bins:
                 bins, plan = used_bins, []
                 while done:
                     plan.append(done[0])
                     done = done[1]
             continue
-        options = []
+        # Fewer sequences than the incumbent's means at most this much waste.
+        spare = (bins - 1) * capacity - total - waste
         left[big] -= 1
-        sets = fillings(left, _below(left), capacity - big, (bins - 1) * capacity - total - waste)
+        sets = fillings(left, _below(left), capacity - big, spare)
         left[big] += 1
+        options = []
         for f in sets:
             rest = left.copy()
             times, used = _apply(rest, big, f)
-            lost = waste + times * (capacity - big - sum(f))
-            # Fewer sequences than the incumbent's means at most this much waste.
-            if lost <= (bins - 1) * capacity - total:
-                options.append((rest, ((times, used), done), used_bins + times, lost))
-        stack += reversed(options)
+            for t in {times: 0, 1: 0}:
+                lost = t * (capacity - big - sum(f))
+                if lost <= spare:
+                    options.append((t < times, (rest if t == times else None, ((t, used), done), used_bins + t, waste + lost)))
+        options.sort(key=lambda o: o[0])
+        dived |= not options
+        for i, (_, node) in enumerate(options):
+            if i == 0:
+                waves.setdefault(away, deque()).appendleft(node)
+            else:
+                waves.setdefault(away + i, deque()).append((None, *node[1:]))
     return plan
 
 
