@@ -397,3 +397,13 @@ def test_the_first_dive_is_free():
     """The dive alone needs more nodes than the limit allows beyond it."""
     items = [60, 59, 27, 25, 14, 8, 7]
     assert sum(t for t, _ in packing.complete(np.bincount(items, minlength=101), 100, 1)) == 2
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 == 0 else i // 4, prose(5 + i, i), f"s{i % 2}", i) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, row int").repartition(3)
+    sizes = d.selectExpr("doc_id", "source", "size(split(text, ' ')) as size", "row")
+    want = {r["row"]: r["copies"] for r in mixing.mix_sizes(sizes, carry=("row",)).collect()}
+    got = [tuple(r) for r in mixing.curriculum_stream(d).collect()]
+    assert len(want) == 40 and Counter(r[3] for r in got) == Counter({k: n for k, n in want.items() if n}) and set(got) <= set(rows)
+    assert any(r[0] is None for r in got)

@@ -8,7 +8,7 @@ Prefix sums run in two levels: buckets of a hash of the id, then rows of one buc
 over all buckets and only bucket totals meet in one place.
 
 Defined cases: null text has size 0 and takes nothing; null source is a source, last; an empty table gives no rows;
-rows with one doc_id are told apart by their size only; columns other than the named ones are carried along by
+rows with one doc_id are told apart by their size only, and every row, of a null doc_id too, comes as often as its own copies say; columns other than the named ones are carried along by
 `curriculum_stream` and don't matter to `mix_sizes`.
 """
 
@@ -77,13 +77,13 @@ def _position(share: Column, slot: Column, schedules) -> Column:
     return out
 
 
-def mix_sizes(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, schedules=SCHEDULES, digits: int = BUCKET_DIGITS) -> DataFrame:
-    """rows: doc_id, source, size. Returns doc_id, source, size, source_size, target, copies, taken, position_1, position_2, ...
+def mix_sizes(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, schedules=SCHEDULES, digits: int = BUCKET_DIGITS, carry: tuple = ()) -> DataFrame:
+    """rows: doc_id, source, size. Returns doc_id, source, size, source_size, target, copies, taken, position_1, position_2, ... and the columns `carry` of rows.
 
     Every document of a source is taken floor(target / source_size) times, and the first of the hash order once more,
     until the source's target is met to within half a document."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    base = rows.select("doc_id", "source", "size").withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
+    base = rows.select("doc_id", "source", "size", *carry).withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
     sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(run), F.lit(0)))
@@ -92,7 +92,7 @@ def mix_sizes(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     offs = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "bucket", "before", "source_size", "slot", "target")
     b, o = base.alias("b"), offs.alias("o")
     j = b.join(o, F.col("b.source").eqNullSafe(F.col("o.source")) & (F.col("b.bucket") == F.col("o.bucket")))
-    j = j.select("doc_id", "b.source", "size", "key", "b.bucket", "before", "source_size", "slot", "target")
+    j = j.select("doc_id", "b.source", "size", "key", "b.bucket", "before", "source_size", "slot", "target", *carry)
     inner = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     cum = F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -105,15 +105,16 @@ def mix_sizes(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     for c in range(1, most + 1):
         at = (F.col("cum") + F.lit(c - 1) * F.col("source_size") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0))
         places.append(F.when(F.col("copies") >= c, _position(F.least(at, F.lit(1.0)), F.col("slot"), schedules)).alias(f"position_{c}"))
-    return j.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *places)
+    return j.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *places, *carry)
 
 
 def curriculum_stream(docs: DataFrame, **how) -> DataFrame:
     """The mixed training stream: every taken copy of every document, all columns of docs, range-sorted by training position."""
-    plan = mix_sizes(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), **how).where("copies > 0")
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    plan = mix_sizes(rows, carry=("_row",), **how).where("copies > 0")
     n = int(how.get("cap", CAP))
-    plan = plan.select("doc_id", F.explode(F.array(*[f"position_{c}" for c in range(1, n + 1)])).alias("_position")).where("_position is not null")
-    return docs.join(plan, "doc_id").orderBy("_position", "doc_id").select(*docs.columns)
+    plan = plan.select("doc_id", "_row", F.explode(F.array(*[f"position_{c}" for c in range(1, n + 1)])).alias("_position")).where("_position is not null")
+    return plan.orderBy("_position", "doc_id").select("_row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
