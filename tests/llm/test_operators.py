@@ -407,3 +407,18 @@ def test_mixing_of_null_and_repeated_ids(spark):
     got = [tuple(r) for r in mixing.curriculum_stream(d).collect()]
     assert len(want) == 40 and Counter(r[3] for r in got) == Counter({k: n for k, n in want.items() if n}) and set(got) <= set(rows)
     assert any(r[0] is None for r in got)
+
+
+def test_suffix_dedup_of_null_and_repeated_ids(spark):
+    one, two = prose(80, 31), prose(80, 32)
+    rows = [(None, one), (None, two), (None, prose(9, 33) + " " + two + " " + prose(30, 34)), (5, BASE), (5, BASE), (5, None), (6, prose(50, 35) + SHARED), (6, prose(12, 36) + SHARED + prose(40, 37))]
+    got = [(r["doc_id"], r["n_bytes"], bytes(r["kept"]).decode()) for r in suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert Counter((d, n) for d, n, _ in got) == Counter((d, len(t or "")) for d, t in rows)
+    kept = "|".join(k for _, _, k in got)
+    assert sorted(k for d, _, k in got if d == 5) == ["", "", BASE] and (None, len(one), one) in got
+    for _, t in rows:
+        for i in range(len(t or "") - 99):
+            assert kept.count(t[i : i + 100]) <= 1
+    # Texts of repeated strings lose them in all places but one: what is kept holds every string's bytes still.
+    assert two in kept or sum(two[i : i + 20] in kept for i in range(len(two) - 19)) > len(two) - 60
+    assert SHARED in kept

@@ -15,8 +15,8 @@ Every byte covered by a LENGTH-byte string that also starts earlier, in the orde
 A passage that a large share of all documents holds would gather its edge runs, all different, in one bucket. Such anchors are looked
 for in a sample of documents (this decides how rows travel, never what is removed); their strings are sent one by one, keyed by a hash of all their bytes.
 
-Defined cases: null and empty texts have n_bytes 0, nothing removed and the hash of nothing; a null doc_id counts as the lowest; rows that share one doc_id are
-one document whose removed stretches are cut from each of them; extra columns are ignored.
+Defined cases: null and empty texts have n_bytes 0, nothing removed and the hash of nothing; a null doc_id counts as the lowest; rows that share one doc_id, the null
+ones too, are documents of their own, in the order of a hash of their text, so of repeated rows one keeps its text; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -303,11 +303,20 @@ def _compare(length: int):
     return run
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and _d, one number a row in the order of doc_id: the id itself (null as the lowest) where no two rows share one, else a number of its own."""
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LOWEST)).alias("_d"))
+    if rows.groupBy("_d").count().where("count > 1").isEmpty():
+        return rows
+    rows = rows.select("doc_id", "text", F.col("_d").alias("_id"), F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_n"))
+    return materialize(rows.orderBy("_id", "_h", "_n").select("doc_id", "text", F.monotonically_increasing_id().alias("_d")), "numbered")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """_d (doc_id, null as the lowest), s, e: stretches of bytes to remove; they may overlap."""
+    """docs as `numbered` gives them. _d, s, e: stretches of bytes to remove; they may overlap."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("_d"), "text")
+    docs = docs.select("_d", "text")
     runs = _scan(docs, 8 * n, length, gram, _frequent(docs, length, gram))
     settled = materialize(runs.repartition(n, "_b").mapInArrow(_settle(length), _ROWS), "runs")
     want = settled.where("a is not null").groupBy("_d").agg(F.collect_list(F.struct("a", "s", "n", "e")).alias("want"))
@@ -318,8 +327,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes."""
+    docs = numbered(docs)
     gone = repeats(docs, length, gram).groupBy("_d").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LOWEST)).alias("_d")).join(gone, "_d", "left")
+    rows = docs.join(gone, "_d", "left")
 
     def run(it):
         for pdf in it:
