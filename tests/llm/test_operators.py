@@ -346,8 +346,8 @@ def test_toxicity_counts_every_labelled_row(spark):
         rows.append((i, " ".join(w)))
         labels.append((i, bad))
     d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    counted = {r["key"]: (r["toxic"], r["ordinary"]) for r in toxicity.beginnings(d.join(l, "doc_id")).collect()}
-    assert counted[int.from_bytes(b"vilequar", "big")] == (25, 0)
+    counted = {r["key"]: (r["toxic"], r["ordinary"]) for r in toxicity.count(d.join(l, "doc_id")).collect()}
+    assert counted[int.from_bytes(b"vilequar", "big")] == (75, 0)
     s = toxicity.fit(d, l, 300, 100)
     out = [(5000, " ".join(["vilequark"] * 3 + WORDS[:12])), (5001, " ".join(WORDS[:15]))]
     got = {x["doc_id"]: x["predicted"] for x in toxicity.score(spark.createDataFrame(out, "doc_id long, text string"), s, ["doc_id"]).collect()}
@@ -422,3 +422,87 @@ def test_suffix_dedup_of_null_and_repeated_ids(spark):
     # Texts of repeated strings lose them in all places but one: what is kept holds every string's bytes still.
     assert two in kept or sum(two[i : i + 20] in kept for i in range(len(two) - 19)) > len(two) - 60
     assert SHARED in kept
+
+
+def kneser_ney(texts, discount, order):
+    """Both models as plain dictionaries over symbols: P(class, byte, history) with None for the beginning of a word."""
+    tops = [Counter(), Counter()]
+    for text, toxic in texts:
+        word = [None]
+        for b in text.encode():
+            c = bytes([b]).lower()
+            c = b" " if b < 128 and not c.isalnum() else c
+            word.append(c)
+            tops[toxic][tuple(word[-order:])] += 1
+            if c == b" ":
+                word = [None]
+    # Continuations: distinct expressions that are one symbol longer.
+    further, todo = {}, set(tops[0]) | set(tops[1])
+    for n in range(order, 1, -1):
+        here = {g for g in todo if len(g) == n}
+        for g in here:
+            further.setdefault(g[1:], set()).add(g)
+        todo |= {g[1:] for g in here if len(g) > 1 and None not in g[1:]}
+    lower = {g: len(v) for g, v in further.items() if None not in g}
+
+    def s(h, x):
+        row = {g[-1]: c for g, c in lower.items() if g[:-1] == h}
+        if not row:
+            return s(h[1:], x) if h else 1 / 256
+        free = sum(min(c, discount) for c in row.values())
+        return (max(row.get(x, 0) - discount, 0) + free * (s(h[1:], x) if h else 1 / 256)) / sum(row.values())
+
+    def p(toxic, h, x):
+        row = {g[-1]: c for g, c in tops[toxic].items() if g[:-1] == h}
+        if not row:
+            return s(h[1:], x)
+        free = sum(min(c, discount) for c in row.values())
+        return (max(row.get(x, 0) - discount, 0) + free * s(h[1:], x)) / sum(row.values())
+
+    return p, set(tops[0]) | set(tops[1])
+
+
+def test_kneser_ney_probabilities(spark):
+    r = random.Random(8)
+    rows = [(" ".join(r.choice(WORDS[:25] + ["(vile)", "vilequarkish", "\u65e5\u672c"]) for _ in range(12)), i % 2) for i in range(30)]
+    counted = toxicity.count(spark.createDataFrame(rows, "text string, toxic int"))
+    n = counted.selectExpr("sum(toxic) t", "sum(ordinary) o").first()
+    got = toxicity.models(counted, n["t"], n["o"]).collect()
+    p, seen = kneser_ney(rows, toxicity.DISCOUNT, toxicity.ORDER)
+
+    def symbols(key):
+        raw = (key & (1 << 64) - 1).to_bytes(8, "big").lstrip(b"\0")
+        return tuple([None] * (raw[0] == 1) + [raw[i : i + 1] for i in range(raw[0] == 1, len(raw))])
+
+    assert {symbols(g["key"]) for g in got} == seen
+    for g in got:
+        *h, x = symbols(g["key"])
+        for toxic, name in ((1, "toxic"), (0, "ordinary")):
+            assert g[name] == pytest.approx(np.log(p(toxic, tuple(h), x)))
+    for h in [(None,), (None, b"v"), (b"i", b"l", b"e", b"q", b"u", b"a", b"r"), (b"z",)]:
+        for toxic in (0, 1):
+            assert sum(p(toxic, h, bytes([b])) for b in range(256)) == pytest.approx(1)
+
+
+def test_toxicity_reads_behind_brackets_and_long_texts(spark, monkeypatch):
+    rows, labels = [], []
+    for i in range(1200):
+        r = random.Random(i)
+        w = [r.choice(WORDS) for _ in range(30)]
+        if i % 3 == 0:
+            w[r.randrange(30)] = r.choice(["(vilequark)", "x/vilequark", "non-vilequark", "\u65e5\u672c\u4eba\u60aa\u8a9e\u8a00\u8449\u65e5"])
+        else:
+            w[r.randrange(30)] = r.choice(["(fine)", "x/word", "non-word", "\u65e5\u672c\u4eba\u8a9e\u8a00\u8449\u65e5"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    s = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"), 300, 100)
+    new = spark.createDataFrame([(1, "say (vilequark) " + BASE), (2, BASE), (4, "vilequark " * 200_000)], "doc_id long, text string")
+    assert {x["doc_id"]: x["predicted"] for x in toxicity.score(new, s, ["doc_id"]).collect()} == {1: 1, 2: 0, 4: 1}
+    long = np.frombuffer(" ".join(random.Random(1).choice(WORDS) for _ in range(300_000)).encode(), np.uint8)
+    in_pieces = s.model.evidence(long, np.array([0, len(long)]))
+    monkeypatch.setattr(toxicity, "pieces", lambda data, offs: [(data, offs, np.arange(len(offs) - 1))])
+    assert s.model.evidence(long, np.array([0, len(long)])) == pytest.approx(in_pieces)
+    held = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 5 == 0]
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(d, s, ["doc_id"]).collect()}
+    assert np.mean([got[i] == labels[i][1] for i in held]) > 0.97

@@ -173,6 +173,22 @@ def distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return r[keep], h[keep]
 
 
+def pieces(data: np.ndarray, offs: np.ndarray, most: int = CHUNK_BYTES):
+    """(bytes, offsets, row of each) of texts: all at once where none is longer than `most`, else long texts in pieces of their own, cut behind a space where there is one."""
+    if not len(offs) or np.diff(offs).max(initial=0) <= most:
+        yield data, offs, np.arange(len(offs) - 1)
+        return
+    for i in range(len(offs) - 1):
+        text = data[offs[i] : offs[i + 1]]
+        a = 0
+        while a < len(text):
+            b = min(len(text), a + most)
+            if b < len(text) and len(gap := np.flatnonzero(text[b - (1 << 12) : b] <= 32)):
+                b += int(gap[-1]) + 1 - (1 << 12)
+            yield text[a:b], np.array([0, b - a]), np.array([i])
+            a = b
+
+
 def arrow_batches(it, *, column: str = "text"):
     """(batch slice, bytes, offsets) for row ranges of about a megabyte of text."""
     for batch in it:
