@@ -112,8 +112,17 @@ def test_packing(spark, docs):
 def test_ranks_give_the_same_ids(text):
     enc = packing.Encoder(packing.default_tokenizer())
     assert enc.ranks is not None
-    (got,) = enc.batch([text])
-    assert np.frombuffer(got, "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    assert enc.ids(text).tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_endless_runs(spark):
+    d = spark.createDataFrame([(1, " " * 1_000_000), (2, "x" * 200_000), (3, "\n \t" * 100_000)], "doc_id long, text string")
+    tok = packing.encoder(packing.default_tokenizer()).tok
+    want = {r["doc_id"]: len(tok.encode(r["text"], add_special_tokens=False).ids) + 1 for r in d.collect()}
+    got = Counter()
+    for r in packing.pack_documents(d).collect():
+        got[r["doc_id"]] += r["length"]
+    assert got == Counter(want)
 
 
 def test_bin_completion_finds_the_least():
@@ -207,25 +216,37 @@ def test_ann(spark):
     assert annindex.search(none, none, 20).count() == 0
 
 
-def test_warc(spark):
-    rows = [(i, f"http://h/{i}", f"<p>é{i}</p>" * (i % 7)) for i in range(0, 9000, 3)] + [(None, None, None), (6, "twice", "x")]
+def test_warc(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"<p>\u00e9{i}</p>" * (i % 7)) for i in range(0, 9000, 3)] + [(None, None, None), (None, "a\r\nb", "z"), (6, "twice", "x"), (6, "twice", "x"), (2**60 + 64, "far", "y")]
     p = spark.createDataFrame(rows, "page_id long, url string, html string")
-    rec = warcaudit.records(p)
-    back = warcaudit.parse(rec).where("page_id = 30").first()
-    assert (back["url"], back["html"]) == ("http://h/30", "<p>é30</p>" * 2)
-    assert warcaudit.audit(rec, rec).where("corrupt").count() == 0
+    warcaudit.write_warc(p, str(tmp_path / "one"), 500)
+    back = warcaudit.read_warc(spark, str(tmp_path / "one"))
+    clean = lambda v: (v or "").replace("\r", "%0D").replace("\n", "%0A")
+    assert Counter((r["page_id"], r["url"], r["html"]) for r in back.collect()) == Counter((i, clean(u), h or "") for i, u, h in rows)
+    digest = back.selectExpr("file", "offset", "page_id", "cast(length(record) as long) as length", "sha2(record, 256) as sha").cache()
+    # What is read from the files is what the audit computes from the table.
+    laid = warcaudit.offsets(warcaudit.lay_out(warcaudit.digests(warcaudit.records(p)), 500))
+    names = ["file", "offset", "page_id", "length", "sha"]
+    assert Counter(map(tuple, digest.select(names).collect())) == Counter(map(tuple, laid.select(names).collect()))
+    assert warcaudit.audit(digest, laid).where("corrupt").count() == 0
     from pyspark.sql import functions as F
 
-    other = rec.where("page_id is null or page_id <> 300").withColumn("record", F.when(F.col("page_id") == 4500, F.lit("gone bad")).otherwise(F.col("record")))
-    out = warcaudit.audit(rec, other)
-    assert sorted(r["page_id"] for r in out.where("corrupt").collect()) == [300, 4500]
-    got = out.where("offset is not null").orderBy("page_id").collect()
-    at = 0
-    for r in got:
-        assert r["offset"] == at
-        at += r["length"]
-    no = rec.where("false")
-    assert warcaudit.audit(no, no).count() == 0 and warcaudit.audit(rec, no).where("corrupt").count() == 3001
+    other = digest.where("page_id is null or page_id <> 300").withColumn("sha", F.when(F.col("page_id") == 4500, F.lit("bad")).otherwise(F.col("sha")))
+    other = other.withColumn("offset", F.when((F.col("file") == 0) & (F.col("page_id") > 300), F.col("offset") - 90).otherwise(F.col("offset")))
+    out = warcaudit.audit(digest, other).cache()
+    assert out.count() == len(rows) and sorted(r["page_id"] for r in out.where("corrupt").collect()) == [300, 4500]
+    extra = warcaudit.audit(other, digest).where("corrupt").collect()
+    assert sorted((r["page_id"], r["record_sha256"] is None) for r in extra) == [(300, True), (4500, False)]
+    no = digest.where("false")
+    assert warcaudit.audit(no, no).count() == 0 and warcaudit.audit(digest, no).where("corrupt").count() == len(rows)
+
+
+def test_only_differing_branches_are_descended(spark):
+    rows = spark.range(30_000).selectExpr("id as page_id", "10L as length", "sha2(cast(id as string), 256) as sha")
+    a = warcaudit.leaves(warcaudit.offsets(warcaudit.lay_out(rows, 20)))
+    b = a.selectExpr("file", "range_id", "id", "k", "offset", "length", "case when id = 12345 then 'bad' else sha end as sha")
+    one, two = warcaudit.tree(a, 2), warcaudit.tree(b, 2)
+    assert [t.count() for t in one] == [1500, 1500, 24, 1] and [tuple(r) for r in warcaudit.descend(one, two).collect()] == [(617, 0)]
 
 
 _BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 CHUNK_BYTES = 1 << 20
@@ -40,6 +41,42 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks(docs: DataFrame, most: int = 128 << 20) -> int:
+    """Partitions for a shuffle of what docs are made into: the session's number, and at least one for every `most` bytes of docs' files."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Rows that come from no file have no known size, and what joins are thought to give is no measure.
+    return min(max(usual, -(-size // most)), 64 * usual) if size < 1 << 56 else usual
+
+
+#: A key with more than this share of all rows is hot: there are at most 1 / HOT_SHARE of them, so their keys may be broadcast.
+HOT_SHARE = 1 / 4096
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """key and number of rows of every hot key (at most 1 / HOT_SHARE rows)."""
+    per = rows.groupBy(key).agg(F.count("*").alias("_m"))
+    whole = rows.count()
+    return per.where(F.col("_m") > F.lit(max(2.0, HOT_SHARE * whole)))
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join of rows with small (narrow, one row a key): rows of hot keys by broadcast of small's rows of those keys, the others by key."""
+    few = F.broadcast(small.join(F.broadcast(hot.select(key)), key, "left_semi"))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(small, key))
+
+
+def numbered(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, text, the columns `carry` and _d, one number a row in the order of doc_id: the id itself (null as the lowest) where no two rows share one, else a number of its own."""
+    lowest = -(1 << 63)
+    rows = docs.select("doc_id", "text", *carry, F.coalesce("doc_id", F.lit(lowest)).alias("_d"))
+    if rows.groupBy("_d").count().where("count > 1").isEmpty():
+        return rows
+    rows = rows.select("doc_id", "text", *carry, F.col("_d").alias("_id"), F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_n"))
+    return materialize(rows.orderBy("_id", "_h", "_n").select("doc_id", "text", *carry, F.monotonically_increasing_id().alias("_d")), "numbered")
+
+
 def ship(spark: SparkSession, model) -> Broadcast:
     """Broadcasts a model by value, so that executors need no copy of its class; `shipped` opens it."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))

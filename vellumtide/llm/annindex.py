@@ -5,11 +5,13 @@ as residual quantisers, then re-solved together by least squares between rounds
 stored as M bytes and the norm of its approximation. A query turns the codebooks into M look-up tables; the inner product with any row is the sum of M entries
 (for Euclidean nearness the stored norm completes it). The best rows of all blocks are then ranked by exact products of the original vectors.
 
-The index is scanned in blocks of codes against blocks of queries: block tables are packed rows, each pair is one unit of work with a
-bounded table of scores, and what leaves it is RERANK candidates a query. Nothing but codebooks is broadcast (M * 256 vectors at most).
+The index is scanned in blocks of codes against blocks of queries: a task takes one block of queries and, one after another, the packed code blocks of one of at
+most MOST_SLICES slices of the index, keeping the best candidates so far of each query. So what leaves it is one list a query and slice, however many rows there are; the lists of a
+block of queries are merged at once. Nothing but codebooks is broadcast (M * 256 vectors at most). The shortlist grows with the square root of the number of rows beyond
+RERANK_ROWS, so that its recall holds.
 
 Defined cases: vectors that are null, zero, of another dimension than the commonest or with null or non-finite components take no part; a row with a null id neither;
-of rows that share an id one takes part; with fewer than k candidates all are returned; ties go to the smaller id; an empty table gives no rows.
+of rows that share an id the one of the greatest vector (by component) takes part; with fewer than k candidates all are returned; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ BOOKS, WORDS, BEAM = 32, 64, 2
 #: Rows that codebooks are learned on, at most.
 TRAIN_ROWS = 8192
 ROUNDS = 1
-#: Candidates of each query that are ranked exactly.
-RERANK = 256
-QUERY_BLOCK, ROW_BLOCK, MOST_BLOCKS = 512, 4096, 256
+#: Candidates of each query that are ranked exactly, up to so many rows.
+RERANK, RERANK_ROWS = 256, 65_536
+#: Queries and codes in a block; slices of the index at most, and tasks below which it is cut into more of them.
+QUERY_BLOCK, ROW_BLOCK, MOST_SLICES, ENOUGH = 512, 4096, 16, 64
 
 
 def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
@@ -103,16 +106,20 @@ def usable(rows: DataFrame) -> DataFrame:
     v = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     v = v.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
     size = v.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return v.where(F.size("embedding") == (size["d"] if size else 0)).dropDuplicates(["vec_id"])
+    return v.where(F.size("embedding") == (size["d"] if size else 0)).groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
+
+
+def shortlist(n: int) -> int:
+    """Candidates of each query among n rows."""
+    return int(RERANK * max(1.0, n / RERANK_ROWS) ** 0.5)
 
 
 def build(rows: DataFrame) -> tuple[np.ndarray | None, DataFrame, int]:
-    """Codebooks, the packed index (block, ids, codes, norms) and the number of blocks."""
+    """Codebooks, the packed index (part, ids, codes, norms) and the number of rows."""
     sample = rows.orderBy(F.xxhash64("vec_id")).limit(TRAIN_ROWS).collect()
     n = rows.count()
-    blocks = max(1, min(MOST_BLOCKS, -(-n // ROW_BLOCK)))
     if not sample:
-        return None, rows, blocks
+        return None, rows, 0
     books = learn(np.array([r["embedding"] for r in sorted(sample, key=lambda r: r["vec_id"])]))
     sent = rows.sparkSession.sparkContext.broadcast(books)
 
@@ -121,59 +128,90 @@ def build(rows: DataFrame) -> tuple[np.ndarray | None, DataFrame, int]:
         x = np.stack(pdf["embedding"].to_numpy())
         codes = encode(x, sent.value)
         norms = (decode(codes, sent.value) ** 2).sum(1).astype(np.float32)
-        return pd.DataFrame({"block": [key[0]], "part": [key[1]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "norms": [norms.tobytes()]})
+        return pd.DataFrame({"part": [key[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "norms": [norms.tobytes()]})
 
-    parts = max(1, -(-n // (blocks * ROW_BLOCK)))
-    spread = F.pmod(F.xxhash64("vec_id"), F.lit(blocks * parts))
-    keyed = rows.withColumn("block", (spread % blocks).cast("int")).withColumn("part", F.floor(spread / blocks).cast("int"))
-    index = keyed.groupBy("block", "part").applyInPandas(pack, "block int, part int, ids binary, codes binary, norms binary")
-    return books, materialize(index, "codes"), blocks
+    keyed = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // ROW_BLOCK))))
+    return books, materialize(keyed.groupBy("part").applyInPandas(pack, "part long, ids binary, codes binary, norms binary"), "codes"), n
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, rerank: int = RERANK, metric: str = "ip") -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest rows found for every query, its own id aside. rows, queries: as `usable` gives them."""
-    spark = rows.sparkSession
-    books, index, blocks = build(rows)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if books is None:
-        return spark.createDataFrame([], schema)
+_LISTS = "qb int, qids binary, ids binary, scores binary"
+
+
+def _best(ids: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` greatest scores of every row, with their ids; ties to the smaller id."""
+    if score.shape[1] <= most:
+        return ids, score
+    order = np.lexsort((ids, -score), axis=1)[:, :most]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
+
+
+def candidates(index: DataFrame, queries: DataFrame, books: np.ndarray, n: int, rerank: int, metric: str) -> DataFrame:
+    """query_id and vec_id of the `rerank` rows that score best by the look-up tables."""
+    spark = queries.sparkSession
     sent = spark.sparkContext.broadcast(books)
-    n_q = max(1, queries.count())
-    q_blocks = -(-n_q // QUERY_BLOCK)
+    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    slices = max(1, min(MOST_SLICES, -(-n // ROW_BLOCK), -(-ENOUGH // q_blocks)))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"qb": [key[0]], "qids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vecs": [np.stack(pdf["embedding"].to_numpy()).astype(np.float32).tobytes()]})
 
     q = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks)).cast("int")).groupBy("qb").applyInPandas(pack, "qb int, qids binary, vecs binary")
-    pairs = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block")
+    q = q.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("qb", "slice", F.lit(-1).cast("long").alias("part"), F.col("qids").alias("ids"), F.col("vecs").alias("codes"), F.lit(None).cast("binary").alias("norms"))
+    rows = index.withColumn("slice", F.pmod("part", F.lit(slices)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).select(*q.columns)
 
     def scan(it):
+        at, qids, lut, ids, score = None, None, None, None, None
+
+        def out():
+            # Own rows are no candidates; places that no row took have id -1.
+            return pd.DataFrame({"qb": [at[0]], "qids": [qids.tobytes()], "ids": [np.where(score > -np.inf, ids, -1).tobytes()], "scores": [score.tobytes()]})
+
         for pdf in it:
-            for r in pdf.itertuples():
-                books_ = sent.value
-                qids = np.frombuffer(r.qids, np.int64)
-                lut = np.einsum("qd,mkd->mqk", np.frombuffer(r.vecs, np.float32).reshape(len(qids), -1), books_, optimize=True).astype(np.float32)
-                ids = np.frombuffer(r.ids, np.int64)
-                codes = np.frombuffer(r.codes, np.uint8).reshape(len(ids), -1)
-                score = lut[0][:, codes[:, 0]]
+            for r in pdf.itertuples(index=False):
+                if (r.qb, r.slice) != at:
+                    if ids is not None and ids.shape[1]:
+                        yield out()
+                    at, ids = (r.qb, r.slice), None
+                if r.part < 0:
+                    qids = np.frombuffer(r.ids, np.int64)
+                    lut = np.einsum("qd,mkd->mqk", np.frombuffer(r.codes, np.float32).reshape(len(qids), -1), sent.value, optimize=True).astype(np.float32)
+                    ids, score = np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0), np.float32)
+                    continue
+                if ids is None:
+                    continue  # a block without queries
+                own = np.frombuffer(r.ids, np.int64)
+                codes = np.frombuffer(r.codes, np.uint8).reshape(len(own), -1)
+                got = lut[0][:, codes[:, 0]]
                 for m in range(1, len(lut)):
-                    score += lut[m][:, codes[:, m]]
+                    got += lut[m][:, codes[:, m]]
                 if metric == "l2":
-                    score = 2 * score - np.frombuffer(r.norms, np.float32)
-                score[qids[:, None] == ids[None, :]] = -np.inf
-                top = min(rerank, len(ids))
-                best = np.argpartition(-score, top - 1, axis=1)[:, :top]
-                got = np.take_along_axis(score, best, 1)
-                yield pd.DataFrame({"query_id": qids, "ids": [ids[b].tobytes() for b in best], "scores": [s.tobytes() for s in got]})
+                    got = 2 * got - np.frombuffer(r.norms, np.float32)
+                got[qids[:, None] == own[None, :]] = -np.inf
+                top = min(rerank, len(own))
+                best = np.argpartition(-got, top - 1, axis=1)[:, :top]
+                ids, score = _best(np.concatenate([ids, own[best]], 1), np.concatenate([score, np.take_along_axis(got, best, 1)], 1), rerank)
+        if ids is not None and ids.shape[1]:
+            yield out()
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
-        score = np.concatenate([np.frombuffer(x, np.float32) for x in pdf["scores"]])
-        ids, score = ids[score > -np.inf], score[score > -np.inf]
-        top = np.lexsort((ids, -score))[:rerank]
-        return pd.DataFrame({"query_id": key[0], "vec_id": ids[top]})
+        qids = np.frombuffer(pdf["qids"][0], np.int64)
+        ids = np.concatenate([np.frombuffer(x, np.int64).reshape(len(qids), -1) for x in pdf["ids"]], 1)
+        score = np.concatenate([np.frombuffer(x, np.float32).reshape(len(qids), -1) for x in pdf["scores"]], 1)
+        ids, score = _best(ids, score, rerank)
+        took = score > -np.inf
+        return pd.DataFrame({"query_id": np.repeat(qids, took.sum(1)), "vec_id": ids[took]})
+
+    tasks_ = min(q_blocks * slices, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lists = q.unionByName(rows).repartition(tasks_, "qb", "slice").sortWithinPartitions("qb", "slice", "part").mapInPandas(scan, _LISTS)
+    return lists.groupBy("qb").applyInPandas(merge, "query_id long, vec_id long")
 
-    found = pairs.mapInPandas(scan, "query_id long, ids binary, scores binary").groupBy("query_id").applyInPandas(merge, "query_id long, vec_id long")
+
+def search(rows: DataFrame, queries: DataFrame, k: int, rerank: int | None = None, metric: str = "ip") -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest rows found for every query, its own id aside. rows, queries: as `usable` gives them."""
+    books, index, n = build(rows)
+    if books is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = candidates(index, queries, books, n, max(k, rerank or shortlist(n)), metric)
     both = found.join(rows.select("vec_id", F.col("embedding").alias("x")), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
 
     def exact(it):

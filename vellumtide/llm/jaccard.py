@@ -7,27 +7,30 @@ Documents are sets of distinct word shingles, ordered by a 64-bit hash. Two link
    (length - least overlap + l) shingles. So a node of whose prefix fewer than l shingles stand in any other prefix links with none. Prefixes travel as packed bytes;
    a shingle that several nodes of one task share is settled there and sent once, so a passage of a third of all documents costs one row a task.
 3. Among the rest, all nodes of one prefix shingle compare with one of them, its centre, not with each other; a node may leave out the commonest (l - 1) / 2
-   shingles of its prefix, as linked nodes then still share one. Nodes within reach of their centre are linked to it, and so to each other.
-4. Linked nodes share a centre. Pairs of which one is linked to it and one isn't, or neither, are compared in a prefix tree. By the triangle inequality of the Jaccard
-   distance only those within a ring around the centre can link. Large rings are dealt in blocks. The tree stores each block's ordered sets; the walk
-   carries the overlaps with all other sets of the block at once, shared by all sets below a branch, and leaves a branch where no
-   set's overlap can reach the bound with the length that remains. Only a spanning set of the links found leaves the task.
+   shingles of its prefix, as linked nodes then still share one. The nodes around a centre stand in prefix trees of at most BLOCK sets: the centre walks each tree once, an overlap
+   counted on a branch is shared by all sets below it, and a branch is left where no set below can reach the bound with the length that remains on either side.
+   Nodes within reach of their centre are linked to it, and so to each other.
+4. Linked nodes share a centre. Pairs of which one is linked to it and one isn't, or neither, are compared in prefix trees too. By the triangle inequality of the Jaccard
+   distance only those within a ring around the centre can link. Rings are dealt in blocks: nodes that aren't linked meet every block, nodes that are stay in one. The walk
+   carries the overlaps with all other sets of the block at once. Only a spanning set of the links found leaves the task.
 5. Components of the links are found by alternating star steps.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; fewer words than a shingle give one shingle; equal sets of one or more shingles
 link; a null doc_id counts as the lowest; rows that share a doc_id each keep their set; extra columns are ignored.
+
+Hot keys: rows of a text that is copied very often get their component by a broadcast of the few such nodes; a centre with many nodes around it is copied to one of every BLOCK of them.
+A ring of which most nodes link to nothing costs the square of their number in one-way block passes, without emitting pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumtide.llm._components import components
-from vellumtide.llm._kit import U, Bytes, distinct, materialize, mix, row_chunks, shingles, table, utf8
+from vellumtide.llm._kit import HOT_SHARE, U, Bytes, distinct, hot_keys, join_hot, materialize, mix, row_chunks, shingles, table, tasks, utf8
 
 WORDS = 4
 SIM = 85
@@ -157,7 +160,7 @@ class PrefixTree:
     """Ordered sets in a path-compressed trie, as arrays: the sets in lexicographic order and the lengths that neighbours share."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].byteswap().tobytes())
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].byteswap().tobytes()) if len(sets) > 1 else [0]
         self.sets = [sets[i] for i in self.order]
         self.shared = [0]
         for a, b in zip(self.sets, self.sets[1:]):
@@ -167,6 +170,33 @@ class PrefixTree:
         self.size = np.array([len(s) for s in self.sets])
 
 
+def probe(sets: list[np.ndarray], centre: np.ndarray, sim: int = SIM) -> np.ndarray:
+    """Overlap of every set with centre (ascending uint64 all), walked over the sets' prefix tree: exact for those that link with it, for others at least their overlap and too small to link."""
+    tree, most = PrefixTree(sets), len(centre)
+    out = np.zeros(len(sets), np.int64)
+    stack = [(0, len(sets), 0, 0, 0)]  # sets a to b - 1 share their first `depth` shingles, which have `got` in common with the centre's first `at`
+    while stack:
+        a, b, depth, got, at = stack.pop()
+        short, long_ = int(tree.size[a:b].min()), int(tree.size[a:b].max())
+        upto = min(tree.shared[a + 1 : b]) if b - a > 1 else long_
+        part = tree.sets[a]
+        while depth < upto:
+            if (100 + sim) * (got + min(long_ - depth, most - at)) < sim * (short + most):
+                break
+            step = min(upto, depth + 64)
+            where = np.searchsorted(centre, part[depth:step])
+            got += int((centre[np.minimum(where, most - 1)] == part[depth:step]).sum())
+            at, depth = int(np.searchsorted(centre, part[step - 1], "right")), step
+        if depth < upto or b - a == 1:
+            for i in range(a, b):
+                out[tree.order[i]] = got + min(int(tree.size[i]) - depth, most - at)
+            continue
+        ends = [k for k in range(a + 1, b) if tree.shared[k] <= depth]
+        for x, y in zip([a, *ends], [*ends, b]):
+            stack.append((x, y, depth, got, at))
+    return out
+
+
 def tree_join(sets: list[np.ndarray], open_: np.ndarray, sim: int = SIM) -> list[tuple[int, int]]:
     """Pairs (i, j) of sets (ascending uint64) that link, but for pairs of which neither is `open_`."""
     tree = PrefixTree(sets)
@@ -237,27 +267,79 @@ def _spanning(links: list[tuple[int, int]], m: int) -> list[tuple[int, int]]:
     return out
 
 
-def _block(sim: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["open"].any() and len(pdf) > 1:
-            rep = pdf["rep"].to_numpy()
-            sets = [np.asarray(t, np.int64).view(np.uint64) for t in pdf["toks"]]
-            got = _spanning(tree_join(sets, pdf["open"].to_numpy(), sim), len(sets))
-            return pd.DataFrame([(rep[i], rep[j]) for i, j in got], columns=["u", "v"], dtype="int64")
-        return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+_RINGS = "centre long, node long, xr long, cr long, far double, linked boolean"
+
+
+def _groups(it):
+    """Rows of one (centre, b) after another, as a table each, from batches that are sorted by them."""
+    rest = None
+    for batch in it:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        c, b = t.column("centre").to_numpy(), t.column("b").to_numpy()
+        cut = np.flatnonzero((c[1:] != c[:-1]) | (b[1:] != b[:-1])) + 1
+        ends = [0, *cut.tolist()]
+        for x, y in zip(ends, ends[1:]):
+            yield t.slice(x, y - x)
+        rest = t.slice(ends[-1])
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _toks(t: pa.Table) -> list[np.ndarray]:
+    col = t.column("toks").combine_chunks()
+    col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+    at, flat = col.offsets.to_numpy(), col.values.to_numpy().view(np.uint64)
+    return [flat[x:y] for x, y in zip(at[:-1], at[1:])]
+
+
+def _around(sim: int):
+    """Step 3: every group is a centre (its row first) and nodes around it."""
+
+    def run(it):
+        rows = []
+        for t in _groups(it):
+            sets = _toks(t)
+            node, rep = t.column("node").to_numpy(), t.column("rep").to_numpy()
+            c = int(t.column("centre")[0].as_py())
+            size = np.array([len(x) for x in sets[1:]])
+            if not len(size):
+                continue
+            both, most = probe(sets[1:], sets[0], sim), len(sets[0])
+            far = 1 - both / (size + most - both)
+            rows.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(size), c)), pa.array(node[1:]), pa.array(rep[1:]), pa.array(np.full(len(size), rep[0])), pa.array(far), pa.array((100 + sim) * both >= sim * (size + most))], ["centre", "node", "xr", "cr", "far", "linked"]))
+            if len(rows) >= 1000:
+                yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+                rows = []
+        if rows:
+            yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+
+    return run
+
+
+def _within(sim: int):
+    """Step 4: every group is two blocks of a ring, or one; open nodes are those that their centre doesn't link with."""
+
+    def run(it):
+        for t in _groups(it):
+            open_ = t.column("open").to_numpy()
+            if open_.any() and len(t) > 1:
+                rep = t.column("rep").to_numpy()
+                if got := _spanning(tree_join(_toks(t), open_, sim), len(t)):
+                    i, j = np.array(got).T
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], ["u", "v"])
 
     return run
 
 
 def similarity_components(docs: DataFrame, words: int = WORDS, sim: int = SIM) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_part = tasks(docs)
     docs = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("_d"), "text")
     found = _scan(docs, 8 * n_part, words, sim).repartition(n_part, "_b").mapInArrow(_match, _FOUND)
     found = materialize(found, "nodes")
     own = found.where("hits is null").select("doc_id", "node", "n")
-    reps = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    reps = materialize(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "reps")
     hits = found.where("hits is not null").groupBy("node").agg(F.sum("hits").alias("hits"))
     # need() of the least length that a partner may have
     partner = F.ceil(F.col("n") * sim / 100.0 - 1e-9)
@@ -273,27 +355,41 @@ def similarity_components(docs: DataFrame, words: int = WORDS, sim: int = SIM) -
     spare = F.floor((F.greatest(F.lit(1), F.floor((F.col("p") - F.ceil(F.col("p") * sim / 100.0 - 1e-9) + 1) / 4)) - 1) / 2)
     near = toks.join(centres, "tok")
     near = near.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), "tok"))).where(F.col("k") > spare)
-    near = near.select("centre", "node").where("centre <> node").distinct()
-    x = sets.select("node", F.col("n").alias("xn"), F.col("toks").alias("xt"), F.col("rep").alias("xr"))
-    c = sets.select(F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("toks").alias("ct"), F.col("rep").alias("cr"))
-    both = F.size(F.array_intersect("xt", "ct"))
-    rings = near.join(x, "node").join(c, "centre").withColumn("both", both)
-    rings = rings.select("centre", "node", "xr", "cr", "both", "xn", "cn", (1 - F.col("both") / (F.col("xn") + F.col("cn") - F.col("both"))).alias("far"), (100 * F.col("both") >= sim * (F.col("xn") + F.col("cn") - F.col("both"))).alias("linked"))
+    near = materialize(near.select("centre", "node").where("centre <> node").distinct(), "near")
+    each = sets.select("node", "rep", "toks")
+    # A hot centre is dealt in blocks of its nodes, and copied to each.
+    hot = F.broadcast(materialize(hot_keys(near, "centre"), "hot").select("centre", F.ceil(F.col("_m") / F.lit(float(BLOCK))).cast("int").alias("blocks")))
+    spread = near.join(hot, "centre", "left").select("centre", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0)).alias("b"), "node")
+    members = spread.join(each, "node").select("centre", "b", F.lit(1).alias("o"), "node", "rep", "toks")
+    leads = near.select("centre").distinct().join(hot, "centre", "left").select("centre", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("b"))
+    leads = leads.join(each.withColumnRenamed("node", "centre"), "centre").select("centre", "b", F.lit(0).alias("o"), F.col("centre").alias("node"), "rep", "toks")
+    rings = members.unionByName(leads).repartition(n_part, "centre", "b").sortWithinPartitions("centre", "b", "o").mapInArrow(_around(sim), _RINGS)
     rings = materialize(rings, "rings")
     links = rings.where("linked").select(F.col("xr").alias("u"), F.col("cr").alias("v"))
     reach = 1 - sim / 100.0
-    ring = rings.groupBy("centre").agg(F.min(F.when(~F.col("linked"), F.col("far"))).alias("inner"), F.count("*").alias("m")).where("inner is not null and m > 1")
-    ring = ring.withColumn("blocks", F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int"))
-    dealt = rings.join(ring, "centre").where(F.col("far") >= F.col("inner") - F.lit(reach + 1e-9))
-    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("centre", "node", "b", (~F.col("linked")).alias("open"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    dealt = dealt.select("centre", "node", "open", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    dealt = dealt.join(sets.select("node", "rep", "toks"), "node").select("centre", "i", "j", "rep", "open", "toks")
-    more = dealt.groupBy("centre", "i", "j").applyInPandas(_block(sim), "u long, v long")
+    per = [F.min(F.when(~F.col("linked"), F.col("far"))).alias("inner"), *[F.ceil(F.sum(F.col("linked").cast("int") if x else (~F.col("linked")).cast("int")) / F.lit(float(BLOCK))).cast("int").alias(f"blocks{x}") for x in (0, 1)]]
+    ring = rings.groupBy("centre").agg(*per, F.count("*").alias("m")).where("inner is not null and m > 1")
+    dealt = rings.join(ring, "centre").where(F.col("linked") == F.lit(False)).unionByName(rings.join(ring, "centre").where(F.col("linked") & (F.col("far") >= F.col("inner") - F.lit(reach + 1e-9))))
+    # Group (0, i, j): two blocks of open nodes. Group (1, i, j): a block of open nodes and one of linked nodes.
+    key = lambda kind, i, j: F.lit(kind << 60) + i.cast("long") * F.lit(1 << 30) + j
+    upto = lambda n, make: F.transform(F.sequence(F.lit(0), n - 1), make)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("blocks1")).otherwise(F.col("blocks0"))).cast("int")
+    dealt = dealt.withColumn("own", own)
+    with_open = upto(F.col("blocks0"), lambda o: key(0, F.least(F.col("own"), o), F.greatest(F.col("own"), o)))
+    with_linked = F.when(F.col("blocks1") > 0, upto(F.greatest(F.col("blocks1"), F.lit(1)), lambda o: key(1, F.col("own"), o))).otherwise(F.array().cast("array<bigint>"))
+    to_open = upto(F.col("blocks0"), lambda o: key(1, o, F.col("own")))
+    dealt = dealt.select("centre", "node", (~F.col("linked")).alias("open"), F.explode(F.when(F.col("linked"), to_open).otherwise(F.concat(with_open, with_linked))).alias("b"))
+    dealt = dealt.join(each, "node").select("centre", "b", "rep", "open", "toks")
+    more = dealt.repartition(n_part, "centre", "b").sortWithinPartitions("centre", "b").mapInArrow(_within(sim), "u long, v long")
     linked = components(links.unionByName(more)).select(F.col("u").alias("rep"), F.col("v").alias("least"))
-    out = own.where("n > 0").join(reps.select("node", "rep"), "node").join(linked, "rep", "left")
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "rep").alias("component_id"))
-    blank = own.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    of_node = reps.select("node", "rep", "copies").join(linked, "rep", "left").select("node", F.coalesce("least", "rep").alias("component_id"), "copies")
+    of_node = materialize(of_node, "of_node")
+    rows = found.where("hits is null").select("doc_id", "node", "n")
+    whole = of_node.agg(F.sum("copies")).first()[0] or 0
+    hot_nodes = of_node.where(F.col("copies") > F.lit(max(2.0, HOT_SHARE * whole))).select("node")
+    out = join_hot(rows.where("n > 0"), of_node.drop("copies"), "node", hot_nodes)
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    blank = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(blank)
 
 

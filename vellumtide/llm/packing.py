@@ -16,14 +16,14 @@ from __future__ import annotations
 import json
 import zlib
 from collections import Counter, deque
-from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellumtide.llm._kit import materialize, table
+from vellumtide.llm._kit import arrow_batches, materialize, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -49,12 +49,17 @@ class Encoder:
     ids. Any other file, and texts that spell a special token, are left to tokenizers."""
 
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.ranks = self._as_ranks(spec)
+
+    @cached_property
+    def tok(self):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        with open(path, encoding="utf-8") as f:
-            self.ranks = self._as_ranks(json.load(f))
+        return Tokenizer.from_file(self.path)
 
     def _as_ranks(self, spec: dict):
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -70,31 +75,42 @@ class Encoder:
         ranks = {bytes(letters[c] for c in t): vocab[t] for t in [*letters, *merged]}
         return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        for t in texts:
-            if self.ranks is None or any(s in t for s in self.special):
-                yield np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                yield self.ranks.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes()
+    def ids(self, text: str) -> np.ndarray:
+        if self.ranks is not None and not any(s in text for s in self.special):
+            try:
+                return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+            except ValueError:  # the pattern engine gives up on very long runs of spaces
+                pass
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One a process: tasks that share a Python worker share it."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces; nothing longer than capacity."""
 
     def run(it):
-        enc, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for pdf in it:
-            rows = []
-            for doc, ids in zip(pdf.doc_id, enc.batch(["" if t is None else t for t in pdf.text]), strict=True):
-                ids += end
-                n = len(ids) // 4
-                at, k, size = 0, 0, n % capacity or capacity
+        enc, end = encoder(tokenizer), np.array([end_id], "<u4")
+        for batch, data, offs in arrow_batches(it):
+            raw, row, size, crc = data.tobytes(), [], [], []
+            for i in range(len(offs) - 1):
+                ids = np.append(enc.ids(raw[offs[i] : offs[i + 1]].decode()), end)
+                n = len(ids)
+                at, step = 0, n % capacity or capacity
                 while at < n:
-                    rows.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
-                    at, k, size = at + size, k + 1, capacity
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, _PIECES)
+                    row.append(i)
+                    size.append((at, step))
+                    crc.append(zlib.crc32(ids[at : at + step].tobytes()))
+                    at, step = at + step, capacity
+            row, size = np.array(row, np.int64), np.array(size, np.int64).reshape(-1, 2)
+            piece = np.arange(len(row)) - np.searchsorted(row, row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(size[:, 0]), pa.array(size[:, 1]), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
 
 
 def lower_bound(count: np.ndarray, capacity: int) -> int:

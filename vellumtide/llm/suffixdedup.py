@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumtide.llm._kit import U, Bytes, distinct, materialize, mix, row_chunks, table, utf8
+from vellumtide.llm._kit import U, Bytes, distinct, materialize, mix, numbered, row_chunks, table, tasks, utf8
 
 LENGTH = 100
 GRAM = 40
@@ -39,7 +39,6 @@ FREQUENT, SAMPLED = 0.004, 1 / 32
 LEAST_SAMPLED = 8
 _SEGMENT = 4 << 20
 _FLUSH = 1_000_000
-_LOWEST = -(1 << 63)
 _POS = (1 << 24) - 1
 _REC = np.dtype([("a", "<u8"), ("c", "<u8"), ("d", "<i8"), ("s", "<i4"), ("n", "<i4")])
 
@@ -303,19 +302,9 @@ def _compare(length: int):
     return run
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text and _d, one number a row in the order of doc_id: the id itself (null as the lowest) where no two rows share one, else a number of its own."""
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LOWEST)).alias("_d"))
-    if rows.groupBy("_d").count().where("count > 1").isEmpty():
-        return rows
-    rows = rows.select("doc_id", "text", F.col("_d").alias("_id"), F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_n"))
-    return materialize(rows.orderBy("_id", "_h", "_n").select("doc_id", "text", F.monotonically_increasing_id().alias("_d")), "numbered")
-
-
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs as `numbered` gives them. _d, s, e: stretches of bytes to remove; they may overlap."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks(docs)
     docs = docs.select("_d", "text")
     runs = _scan(docs, 8 * n, length, gram, _frequent(docs, length, gram))
     settled = materialize(runs.repartition(n, "_b").mapInArrow(_settle(length), _ROWS), "runs")
