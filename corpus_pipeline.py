@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumtide.llm import jaccard, mixing, packing, pii, toxicity
-from vellumtide.llm._kit import materialize, table
+from vellumtide.llm._kit import materialize, numbered, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of links (five words, similarity 0.8) the document of the smallest id stays; documents of no words all do."""
-    lowest = F.lit(-(1 << 63))
-    found = jaccard.similarity_components(docs.select("doc_id", "text"), words=5, sim=80)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.withColumn("_d", F.coalesce("doc_id", lowest)).join(first, "_d", "left_semi").select(*docs.columns)
+    """Of every component of links (five words, similarity 0.8) the row of the smallest id stays (of rows that share it, the one of the least text hash); rows of no words all do."""
+    rows = numbered(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), "_row")
+    found = jaccard.similarity_components(rows.select(F.col("_d").alias("doc_id"), "text"), words=5, sim=80)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_d"))
+    return rows.select("_d", "_row").join(first, "_d", "left_semi").select("_row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
