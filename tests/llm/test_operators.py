@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from vellumtide.llm import _kit as kit
 from vellumtide.llm import annindex, fingerprints, jaccard, langid, mixing, packing, pii, suffixdedup, toxicity, warcaudit
 
 rnd = random.Random(7)
@@ -316,6 +317,8 @@ def test_jaccard(spark, docs, words, sim):
 
 def test_jaccard_in_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "RING", 8)
+    monkeypatch.setattr(kit, "HOT_SHARE", 0.02)
     rows = [(i, edited(BASE, i % 7, i) if i % 3 else prose(40, i) + " " + SHARED) for i in range(150)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similarity_components(d).collect()}
@@ -527,3 +530,18 @@ def test_toxicity_reads_behind_brackets_and_long_texts(spark, monkeypatch):
     held = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 5 == 0]
     got = {x["doc_id"]: x["predicted"] for x in toxicity.score(d, s, ["doc_id"]).collect()}
     assert np.mean([got[i] == labels[i][1] for i in held]) > 0.97
+
+
+@pytest.mark.parametrize(("n", "parts"), [(10, 3), (15, 3), (60, 3), (100, 3), (300, 3), (30, 4), (100, 4), (300, 4)])
+def test_perfect_packings_are_found(n, parts):
+    """Pieces that fill n sequences exactly, in threes or fours."""
+    r, items = random.Random(n * parts), []
+    for _ in range(n):
+        cut = sorted(r.sample(range(100, 924), parts - 1)) if parts == 4 else [(a := r.randint(256, 512)), a + r.randint(256, 896 - a)]
+        items += np.diff([0, *cut, 1024]).tolist()
+    plan = packing.complete(np.bincount(items, minlength=1025))
+    held = Counter()
+    for t, used in plan:
+        assert sum(s * k for s, k in used.items()) <= 1024
+        held += Counter({s: t * k for s, k in used.items()})
+    assert held == Counter(items) and sum(t for t, _ in plan) == n

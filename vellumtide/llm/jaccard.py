@@ -34,8 +34,8 @@ from vellumtide.llm._kit import HOT_SHARE, U, Bytes, distinct, hot_keys, join_ho
 
 WORDS = 4
 SIM = 85
-#: Sets in a block of a prefix tree.
-BLOCK = 384
+#: Sets in a prefix tree that a centre walks, and in a block of a ring.
+BLOCK, RING = 384, 1024
 _FLUSH = 1_000_000
 _LOWEST = -(1 << 63)
 _REC = np.dtype([("t", "<u8"), ("v", "<u8")])
@@ -48,7 +48,7 @@ def least_overlap(n, sim: int = SIM):
 
 def need(n, sim: int = SIM):
     """l of step 2 for a set of n."""
-    return np.maximum(1, (n - least_overlap(n, sim) + 1) // 4)
+    return np.maximum(1, (n - least_overlap(n, sim) + 1) // 2)
 
 
 def _prefix(n, sim: int):
@@ -343,22 +343,23 @@ def similarity_components(docs: DataFrame, words: int = WORDS, sim: int = SIM) -
     hits = found.where("hits is not null").groupBy("node").agg(F.sum("hits").alias("hits"))
     # need() of the least length that a partner may have
     partner = F.ceil(F.col("n") * sim / 100.0 - 1e-9)
-    asked = F.greatest(F.lit(1), F.floor((partner - F.ceil(partner * sim / 100.0 - 1e-9) + 1) / 4))
+    asked = F.greatest(F.lit(1), F.floor((partner - F.ceil(partner * sim / 100.0 - 1e-9) + 1) / 2))
     alive = reps.join(hits, "node").where(F.col("hits") >= asked)
     sets = docs.join(alive.select("node", F.col("rep").alias("_d")), "_d").select("node", "text").mapInArrow(_lookup(words), "node long, n int, toks array<long>")
     sets = materialize(sets.dropDuplicates(["node"]).join(alive.select("node", "rep", "hits"), "node"), "sets")
 
-    l = F.greatest(F.lit(1), F.floor((F.col("n") - F.ceil(F.col("n") * sim / 100.0 - 1e-9) + 1) / 4))
+    l = F.greatest(F.lit(1), F.floor((F.col("n") - F.ceil(F.col("n") * sim / 100.0 - 1e-9) + 1) / 2))
     length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * sim / 100.0 - 1e-9) + l).cast("int")
     toks = sets.select("node", (F.col("hits") / F.col("n")).alias("score"), partner.alias("p"), F.explode(F.slice("toks", F.lit(1), length)).alias("tok"))
     centres = toks.groupBy("tok").agg(F.count("*").alias("df"), F.max_by("node", F.struct("score", "node")).alias("centre")).where("df > 1")
-    spare = F.floor((F.greatest(F.lit(1), F.floor((F.col("p") - F.ceil(F.col("p") * sim / 100.0 - 1e-9) + 1) / 4)) - 1) / 2)
+    spare = F.floor((F.greatest(F.lit(1), F.floor((F.col("p") - F.ceil(F.col("p") * sim / 100.0 - 1e-9) + 1) / 2)) - 1) / 2)
     near = toks.join(centres, "tok")
     near = near.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), "tok"))).where(F.col("k") > spare)
     near = materialize(near.select("centre", "node").where("centre <> node").distinct(), "near")
     each = sets.select("node", "rep", "toks")
     # A hot centre is dealt in blocks of its nodes, and copied to each.
-    hot = F.broadcast(materialize(hot_keys(near, "centre"), "hot").select("centre", F.ceil(F.col("_m") / F.lit(float(BLOCK))).cast("int").alias("blocks")))
+    many = materialize(hot_keys(near, "centre"), "hot")
+    hot = F.broadcast(many.select("centre", F.ceil(F.col("_m") / F.lit(float(BLOCK))).cast("int").alias("blocks")))
     spread = near.join(hot, "centre", "left").select("centre", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0)).alias("b"), "node")
     members = spread.join(each, "node").select("centre", "b", F.lit(1).alias("o"), "node", "rep", "toks")
     leads = near.select("centre").distinct().join(hot, "centre", "left").select("centre", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("b"))
@@ -367,9 +368,10 @@ def similarity_components(docs: DataFrame, words: int = WORDS, sim: int = SIM) -
     rings = materialize(rings, "rings")
     links = rings.where("linked").select(F.col("xr").alias("u"), F.col("cr").alias("v"))
     reach = 1 - sim / 100.0
-    per = [F.min(F.when(~F.col("linked"), F.col("far"))).alias("inner"), *[F.ceil(F.sum(F.col("linked").cast("int") if x else (~F.col("linked")).cast("int")) / F.lit(float(BLOCK))).cast("int").alias(f"blocks{x}") for x in (0, 1)]]
+    per = [F.min(F.when(~F.col("linked"), F.col("far"))).alias("inner"), *[F.ceil(F.sum(F.col("linked").cast("int") if x else (~F.col("linked")).cast("int")) / F.lit(float(RING))).cast("int").alias(f"blocks{x}") for x in (0, 1)]]
     ring = rings.groupBy("centre").agg(*per, F.count("*").alias("m")).where("inner is not null and m > 1")
-    dealt = rings.join(ring, "centre").where(F.col("linked") == F.lit(False)).unionByName(rings.join(ring, "centre").where(F.col("linked") & (F.col("far") >= F.col("inner") - F.lit(reach + 1e-9))))
+    ring = materialize(ring, "ring")
+    dealt = join_hot(rings, ring, "centre", many).where(~F.col("linked") | (F.col("far") >= F.col("inner") - F.lit(reach + 1e-9)))
     # Group (0, i, j): two blocks of open nodes. Group (1, i, j): a block of open nodes and one of linked nodes.
     key = lambda kind, i, j: F.lit(kind << 60) + i.cast("long") * F.lit(1 << 30) + j
     upto = lambda n, make: F.transform(F.sequence(F.lit(0), n - 1), make)
