@@ -2,9 +2,11 @@
 
 Only a document longer than a sequence is cut: full pieces at its end, the rest as its first piece. So every document gives at most one
 piece that needs company, and what matters for packing is how many pieces there are of each length. That histogram has at most
-`capacity` rows at any input size. Bin completion runs on it: around the largest open length it enumerates undominated
-fillings, applies the best one as often as the counts allow, and branches on the others, and on applying one once only, while a bound on the waste leaves
-hope of fewer sequences than the best-fit incumbent. Two bounds, MAX_NODES and STEPS, end the search on large histograms; the incumbent stands then. The outcome, a few thousand (pattern, times) rows, is what goes to the executors; pieces find
+`capacity` rows at any input size. Bin completion runs on it, in two ways that share one incumbent, at first that of best fit. Residuals: a few sequences with waste and a
+few others are opened, and completed anew with the fullest set around each largest piece; the outcome replaces them where it takes fewer sequences or gathers the waste in fewer.
+Branch and bound: around the largest open length it enumerates undominated fillings, applies the best one as often as the counts allow, and branches on the others, and on applying
+one once only, while a bound on the waste leaves hope of fewer sequences than the incumbent. Both end at the lower bound, else after ROUNDS idle residuals and MAX_NODES nodes with STEPS
+sets each, for the problem is NP-hard: the incumbent stands then. The outcome, a few thousand (pattern, times) rows, is what goes to the executors; pieces find
 their slot by their rank among pieces of their length, counted in two levels, so no length gathers in one task.
 
 Defined cases: null text counts as empty and gives one piece, the end token alone; an empty table gives no rows; rows with one
@@ -14,6 +16,7 @@ doc_id are packed as separate documents; further columns are ignored.
 from __future__ import annotations
 
 import json
+import random
 import zlib
 from collections import Counter, deque
 from functools import cached_property, lru_cache
@@ -30,6 +33,8 @@ END_ID = 2
 RANK_BUCKETS = 1024
 #: Nodes of the branch-and-bound search beyond the first dive, and sets looked at by the enumeration of a node's fillings.
 MAX_NODES, STEPS = 1_500, 200
+#: Residuals completed in vain before that search ends, and sequences that it opens at most: with waste, and others.
+ROUNDS, OPENED = 6_000, (16, 24)
 #: How byte-level BPE of this kind splits text before merging (fixed value).
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -219,6 +224,96 @@ def best_fit(count: np.ndarray, capacity: int) -> tuple[int, list]:
     return bins, plan
 
 
+class _Pool:
+    """Distinct patterns, any of which can be drawn or dropped in constant time."""
+
+    def __init__(self):
+        self.items, self.at = [], {}
+
+    def add(self, x: tuple) -> None:
+        if x not in self.at:
+            self.at[x] = len(self.items)
+            self.items.append(x)
+
+    def drop(self, x: tuple) -> None:
+        if x in self.at:
+            i, last = self.at.pop(x), self.items.pop()
+            if i < len(self.items):
+                self.items[i] = last
+                self.at[last] = i
+
+
+def fullest(items: list[int], room: int) -> list[int]:
+    """Places of items that fill most of room together (the first such set in their order), by a bit set of reachable sums."""
+    full, sums, seen, tried = (2 << room) - 1, 1, [], []
+    for i, x in enumerate(items):
+        if x <= room:
+            more = sums | (sums << x) & full
+            if more != sums:
+                seen.append(sums)
+                tried.append(i)
+                sums = more
+                if sums >> room:
+                    break
+    left, got = sums.bit_length() - 1, []
+    for before, i in zip(reversed(seen), reversed(tried)):
+        if left and not (before >> left) & 1:
+            got.append(i)
+            left -= items[i]
+    return got
+
+
+def _completed(items: list[int], capacity: int, rng: random.Random) -> list[tuple]:
+    """Sequences of the items: the largest one left with the fullest set beside it, again and again."""
+    rng.shuffle(items)
+    out = []
+    while items:
+        big = max(items)
+        items.remove(big)
+        got = fullest(items, capacity - big)  # last places first
+        out.append((big, *sorted([items.pop(i) for i in got], reverse=True)))
+    return out
+
+
+def residuals(plan: list[tuple[int, Counter]], capacity: int, goal: int, rounds: int = ROUNDS) -> list[tuple[int, Counter]]:
+    """plan, improved until it has `goal` sequences or `rounds` residuals in a row were completed in vain; more sequences are opened the longer nothing improves."""
+    rng, held, every, loose = random.Random(1), Counter(), _Pool(), _Pool()
+
+    def put(x: tuple, times: int) -> None:
+        held[x] += times
+        if held[x]:
+            every.add(x)
+            if sum(x) < capacity:
+                loose.add(x)
+        else:
+            del held[x]
+            every.drop(x)
+            loose.drop(x)
+
+    for times, used in plan:
+        put(tuple(sorted(used.elements(), reverse=True)), times)
+    bins, idle = sum(held.values()), 0
+    while bins > goal and idle < rounds and loose.items:
+        opened = Counter()
+        for pool, most in zip((loose, every), OPENED):
+            for _ in range(rng.randint(1, 4 + (most - 4) * idle // rounds)):
+                x = pool.items[rng.randrange(len(pool.items))]
+                if opened[x] < held[x]:
+                    opened[x] += 1
+        new = Counter(_completed([s for x in opened.elements() for s in x], capacity, rng))
+        gain = opened.total() - new.total() or sum(n * sum(x) ** 2 for x, n in new.items()) - sum(n * sum(x) ** 2 for x, n in opened.items())
+        if gain >= 0:
+            # What is better once is better as often as the same patterns are there.
+            times = min(held[x] // n for x, n in opened.items()) if gain > 0 else 1
+            for x, n in opened.items():
+                put(x, -times * n)
+            for x, n in new.items():
+                put(x, times * n)
+            bins += times * (new.total() - opened.total())
+        idle = 0 if gain > 0 else idle + 1
+    return [(times, Counter(x)) for x, times in held.items()]
+
+
 def complete(count: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> list[tuple[int, Counter]]:
     """(times, lengths) rows that hold every piece of the histogram `count` (index: length).
 
@@ -228,6 +323,8 @@ def complete(count: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_N
     total = int((count * np.arange(len(count))).sum())
     goal = lower_bound(count, capacity)
     bins, plan = best_fit(count, capacity)
+    plan = residuals(plan, capacity, goal)
+    bins = sum(times for times, _ in plan)
     # By departures: (what is left or None, to be taken from the chain of patterns; chain; sequences; waste).
     waves: dict[int, deque] = {0: deque([(count, (), 0, 0)])}
     nodes, dived = 0, False
