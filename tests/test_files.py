@@ -239,3 +239,96 @@ def test_form_fields():
     d = Draft(data)
     E.fill_form(d, data, {"customer": "new", "agree": True, "person.first": "P"})
     assert {f["name"]: f["value"] for f in Outline(Pdf(d.save())).fields()} == {"agree": "Yes", "customer": "new", "person.first": "P"}
+
+
+def test_cells_take_words_by_their_centres():
+    # A word across the inner border at x=170, its centre at 173: that decides, and it isn't torn apart.
+    page = lines_at((163, 100, "over it"))
+    rules = [*((x, 40.0, x, 120.0, False) for x in (40.0, 170.0, 300.0)), *((40.0, y, 300.0, y, True) for y in (40.0, 80.0, 120.0))]
+    (t,) = tables.grid_tables(layout.glyphs_of(page), rules)
+    assert tables.extract(t) == [["", ""], ["", "over it"]]
+
+
+def test_merged_cells_span_the_fewest_slots():
+    # Row 0: the first cell spans two narrow columns (wide area) or two rows (fewer slots are tried by number, not by size).
+    rules = [(0.0, 0.0, 0.0, 300.0, False), (200.0, 0.0, 200.0, 300.0, False), (10.0, 200.0, 10.0, 300.0, False), (0.0, 0.0, 200.0, 0.0, True), (0.0, 200.0, 200.0, 200.0, True), (0.0, 300.0, 200.0, 300.0, True), (0.0, 250.0, 200.0, 250.0, True)]
+    (t,) = tables.grid_tables([], rules)
+    assert [(r, c) for r, c, box, _ in t["cells"] if box is not None] == [(0, 0), (1, 0), (1, 1), (2, 0), (2, 1)]
+
+
+def test_clip_is_checked_and_tables_are_a_sequence():
+    found_ = tables.Found([{"cells": [1, 2]}, {"cells": [3]}])
+    assert len(found_) == 2 and found_[-1]["cells"] == [3] and len(found_[:1]) == 1 and found_.cells == [1, 2, 3] and [t["cells"] for t in found_] == [[1, 2], [3]]
+    for clip in ((0, 0, 0, 5), (0, 0, float("nan"), 5), (9, 9, 1, 1)):
+        with pytest.raises(ValueError):
+            tables.find([], [], "lines", clip)
+
+
+def test_wide_set_cjk_rows_stay_rows():
+    cols = [[] for _ in range(11)]
+    for r in range(4):
+        for i, c in enumerate("\u6a2a\u66f8\u304d\u6587"):
+            for col, v in zip(cols, (c, 40.0 + 16 * i, 50.0 + 11 * r, 10.0, 10.0, 1.0, 0.0, 0, "F", "F", 0)):
+                col.append(v)
+    page = dict(zip(("text", "x", "y", "size", "advance", "dir_x", "dir_y", "wmode", "font_key", "font", "flags"), cols))
+    got = layout.page_lines(page)
+    assert len(got) == 4 and not any(x.vertical for x in got)
+    assert layout.CJK.match("\ud55c") and not layout.CJK.match("a")
+
+
+def test_bold_bullets_are_items_and_pages_can_be_chosen(spark):
+    from vellumtide.operators import markdown
+    from vellumtide.sources.pagesource import PageSource
+
+    page = lines_at((40, 20, "\u2022 item"), (40, 32, "2) two"), (40, 60, "text"), (40, 72, "goes on"))
+    page["flags"] = [16] * len(page["text"])
+    assert markdown.page_markdown(layout.page_lines(page), {}) == "- item\n2. two\n\n**text** **goes on**"
+
+    def expand(record):
+        for n in range(3):
+            big = lines_at((40, 20, f"page {n}"), (40, 60, "body of it all"))
+            big["size"] = [20.0 if i < 6 and n else 10.0 for i in range(len(big["size"]))]
+            yield {"doc_id": record["doc_id"], "pno": n, "page_count": 3, "width": 600.0, "height": 800.0, "rotation": 0, "glyphs": big, "rules": [], "images": [], "error": None}
+
+    src = PageSource(spark.createDataFrame([(1,)], "doc_id long"), expand)
+    kept = src.rows()
+    for select, want in ((None, "page 0\n\nbody of it all\n\n# page 1\n\nbody of it all\n\n# page 2\n\nbody of it all"), ([-1, 0], "# page 2\n\nbody of it all\n\npage 0\n\nbody of it all"), ([0, 9], "page 0\n\nbody of it all")):
+        assert markdown.documents(src, select).first()["markdown"] == want
+        assert markdown.documents(kept, select).first()["markdown"] == want
+    assert sorted(map(tuple, markdown.levels(src).collect())) == sorted(map(tuple, markdown.levels(kept).collect()))
+
+
+def test_fixed_points(spark):
+    from vellumtide.operators import structure
+
+    chain = spark.createDataFrame([(str(i), str(i + 1) if i < 60 else None, "v" if i == 60 else None) for i in range(61)] + [("a", "b", None), ("b", "a", None), ("c", "gone", None)], "id string, parent string, value string")
+    got = {r["id"]: (r["value"], r["error"] is not None) for r in structure.inherited(chain).collect()}
+    assert all(got[str(i)] == ("v", False) for i in range(61)) and got["a"] == got["b"] == (None, True) and got["c"] == (None, False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 3), (50, 51)], "src long, dst long")
+    assert sorted(r["id"] for r in structure.reachable(edges, spark.createDataFrame([(0,)], "id long")).collect()) == list(range(13))
+    names = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}", "Tx" if i == 0 else None, None) for i in range(5)], "id long, parent long, name string, kind string, flags int")
+    assert {r["id"]: r["full_name"] for r in structure.dotted_names(names).collect()}[4] == "n0.n1.n2.n3.n4"
+
+
+def test_handle(spark, tmp_path):
+    from vellumtide import errors
+    from vellumtide.sources import handle
+
+    (tmp_path / "a.pdf").write_bytes(three())
+    with handle.open(spark, str(tmp_path)) as d:
+        assert len(d) == 3 and "".join(d[-1].first()["glyphs"]["text"]) == "Page three" and d.peek().first()["version"] == "1.7"
+        assert d.markdown([1]).first()["markdown"] == "Page two"
+        drawn = d.render(scale=0.5, pages=[2, 0, 2, 9], workers=2).orderBy("ord").collect()
+        assert [(r["pno"], r["error"] is None) for r in drawn] == [(2, True), (0, True), (2, True), (9, False)] and drawn[0]["png"] == drawn[2]["png"] != drawn[1]["png"]
+        with pytest.raises(IndexError):
+            d.page(7)
+    with pytest.raises(errors.HandleClosed):
+        d.pages()
+    locked = handle.Documents(spark.createDataFrame([("x", bytearray(Draft(three()).save(user_pw="u", owner_pw="o")))], "doc_id string, content binary"))
+    with pytest.raises(errors.StillEncrypted):
+        locked.text()
+    assert locked.authenticate("u").text().count() == 3 and len(handle.empty(spark)) == 0
+    with pytest.raises(ValueError):
+        handle.open(spark)
+    (p,) = raster.pixmaps(spark.createDataFrame([("x", bytearray(three()))], "doc_id string, content binary"), pages=[0], clip=(0, 0, 20, 10)).collect()
+    assert (p["width"], p["height"], p["n"], p["stride"], len(p["samples"])) == (20, 10, 4, 80, 800)

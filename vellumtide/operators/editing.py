@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from vellumtide.errors import PdfFault
 from vellumtide.operators.structure import INFO_KEYS
+from vellumtide.functions.checks import check_color, check_rect
 from vellumtide.sources.inspect import Outline
 from vellumtide.sources.pdfobjects import Lexer, Name, Null, Op, Pdf, Ref, Stream
 from vellumtide.sources.pdfpage import Frame, jpeg_header, unpng
@@ -21,21 +22,6 @@ from vellumtide.sources.pdfwriter import Draft, number, ser, text_string
 STANDARD_FONTS = {"helv": "Helvetica", "hebo": "Helvetica-Bold", "heit": "Helvetica-Oblique", "hebi": "Helvetica-BoldOblique", "cour": "Courier", "cobo": "Courier-Bold", "coit": "Courier-Oblique", "cobi": "Courier-BoldOblique", "tiro": "Times-Roman", "tibo": "Times-Bold", "tiit": "Times-Italic", "tibi": "Times-BoldItalic", "symb": "Symbol", "zadb": "ZapfDingbats"}
 LEADING = 1.2
 OCR_DESCENT = 0.2
-_TOP = 3.4028234663852886e38
-
-
-def check_rect(rect) -> tuple[float, float, float, float]:
-    r = tuple(float(v) for v in rect)
-    if len(r) != 4 or not all(math.isfinite(v) and abs(v) <= _TOP for v in r) or r[0] >= r[2] or r[1] >= r[3]:
-        raise ValueError("a rectangle needs four finite numbers in order")
-    return r
-
-
-def check_color(color) -> tuple[float, float, float]:
-    c = tuple(float(v) for v in color)
-    if len(c) != 3 or not all(0 <= v <= 1 for v in c):
-        raise ValueError("a colour is three numbers from 0 to 1")
-    return c
 
 
 class _View:

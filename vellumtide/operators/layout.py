@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from vellumtide import schema
@@ -20,6 +21,8 @@ VERTICAL_LINE_TOLERANCE = 0.35
 MIN_VERTICAL_CJK_GLYPHS = 3
 MAX_VERTICAL_CJK_CANDIDATES = 4096
 WORD_GAP = 0.15
+#: Steps of stacked glyphs, and of glyphs in a row, in sizes.
+STACK_STEP, ROW_STEP = (0.35, 1.35), (0.2, 1.8)
 BLOCK_GAP = 1.5
 LINE_SEGMENT_GAP = 2.0
 COLUMN_GUTTER = 1.5
@@ -29,7 +32,7 @@ MIN_COLUMN_VERTICAL_OVERLAP = 0.25
 ASCENT = 0.8
 DESCENT = 0.2
 #: Blocks of CJK characters, for vertical inference.
-CJK = re.compile("[⺀-⿟　-〿぀-ゟ゠-ヿ㄀-ㄯ㐀-䶿一-鿿豈-﫿＀-￯]")
+CJK = re.compile("[\u2e80-\u2fff\u3000-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0003134f]")
 
 
 @dataclass(slots=True)
@@ -49,15 +52,17 @@ class Glyph:
     #: The size, at least 1; whether the baseline runs more down than across.
     em: float = 0.0
     tilted: bool = False
+    #: Set as if across, found to run down: boxes stay those of the horizontal mode.
+    inferred: bool = False
 
     def __post_init__(self):
         self.em = self.size if self.size > 1.0 else 1.0
         self.tilted = abs(self.dy) > abs(self.dx)
 
     def box(self) -> tuple[float, float, float, float]:
-        if self.wmode == 1:
+        if self.wmode == 1 and not self.inferred:
             return self.x - self.size / 2, self.y, self.x + self.size / 2, self.y + self.advance
-        if self.dx == 1.0 and self.dy == 0.0:
+        if self.inferred or self.dx == 1.0 and self.dy == 0.0:
             return self.x, self.y - ASCENT * self.size, self.x + self.advance, self.y + DESCENT * self.size
         ends = ((self.x, self.y), (self.x + self.dx * self.advance, self.y + self.dy * self.advance))
         pts = [(px + k * self.dy * self.size, py - k * self.dx * self.size) for px, py in ends for k in (ASCENT, -DESCENT)]
@@ -121,30 +126,40 @@ def _is_cjk(text: str) -> bool:
 
 
 def _vertical_runs(glyphs: list[Glyph]) -> list[list[Glyph]]:
-    """Columns of horizontal-mode CJK glyphs that are set one below another: each has a vertical neighbour and no horizontal one of its font."""
-    some = [g for g in glyphs if _is_cjk(g.text)]
+    """Columns of horizontal-mode CJK glyphs that are set one below another. Such a glyph has a neighbour of its font above or below and none beside it; a column's
+    steps are even. Distances count in the larger of both sizes."""
+    some = sorted((g for g in glyphs if _is_cjk(g.text)), key=lambda g: (g.x, g.font_key, g.y, g.seq))
     if not MIN_VERTICAL_CJK_GLYPHS <= len(some) <= MAX_VERTICAL_CJK_CANDIDATES:
         return []
-
-    def below(a: Glyph, b: Glyph) -> bool:
-        return a.font_key == b.font_key and abs(a.x - b.x) <= VERTICAL_LINE_TOLERANCE * a.em and 0.35 * a.em <= b.y - a.y <= 1.35 * a.em
-
-    def beside(a: Glyph, b: Glyph) -> bool:
-        return a.font_key == b.font_key and abs(a.y - b.y) <= LINE_TOLERANCE * a.em and 0.35 * a.em <= abs(b.x - a.x) <= 1.35 * a.em
-
-    some.sort(key=lambda g: (g.y, g.x, g.seq))
-    lone = [g for i, g in enumerate(some) if not any(beside(g, o) for o in some if o is not g and abs(o.y - g.y) <= g.em)]
-    out, used = [], set()
-    for g in lone:
-        if g.seq in used:
-            continue
-        run = [g]
-        for o in lone:
-            if o.seq not in used and o is not g and below(run[-1], o):
-                run.append(o)
-        if len(run) >= MIN_VERTICAL_CJK_GLYPHS:
-            used |= {o.seq for o in run}
-            out.append(run)
+    x, y, em = (np.array([getattr(g, k) for g in some]) for k in ("x", "y", "em"))
+    font = np.unique([g.font_key for g in some], return_inverse=True)[1]
+    alone = np.zeros(len(some), bool)
+    for a in range(0, len(some), 256):  # a slab of the distance matrix at a time
+        part = slice(a, a + 256)
+        scale = np.maximum(em[part, None], em[None])
+        across, down = np.abs(x[part, None] - x[None]) / scale, np.abs(y[part, None] - y[None]) / scale
+        same = font[part, None] == font[None]
+        stacked = (same & (across <= VERTICAL_LINE_TOLERANCE) & (down >= STACK_STEP[0]) & (down <= STACK_STEP[1])).any(1)
+        beside = (same & (down <= LINE_TOLERANCE) & (across >= ROW_STEP[0]) & (across <= ROW_STEP[1])).any(1)
+        alone[part] = stacked & ~beside
+    columns: dict[str, list[list[Glyph]]] = {}
+    found: list[list[Glyph]] = []
+    for i in np.flatnonzero(alone):
+        g = some[i]
+        mine = columns.setdefault(g.font_key, [])
+        home = next((c for c in mine if abs(c[0].x - g.x) <= VERTICAL_LINE_TOLERANCE * max(c[0].em, g.em)), None)
+        if home is None:
+            home = []
+            mine.append(home)
+            found.append(home)
+        home.append(g)
+    out = []
+    for c in found:
+        c.sort(key=lambda g: (g.y, g.seq))
+        if len(c) >= MIN_VERTICAL_CJK_GLYPHS and all(STACK_STEP[0] <= (q.y - p.y) / max(p.em, q.em) <= STACK_STEP[1] for p, q in zip(c, c[1:])):
+            for g in c:
+                g.dx, g.dy, g.wmode, g.inferred = 0.0, 1.0, 1, True
+            out.append(c)
     return out
 
 

@@ -34,26 +34,32 @@ def set_metadata(info: Column, updates: dict[str, str]) -> Column:
     return F.map_filter(F.map_concat(kept, new), lambda k, v: v != "")
 
 
-def inherited(nodes: DataFrame, depth: int = MAX_FIELD_DEPTH) -> DataFrame:
-    """nodes: id, parent, value. Every id with its own value or that of its nearest ancestor; joins once a level, as long as some are open."""
-    out = nodes.select("id", F.col("parent").alias("up"), "value")
-    look = nodes.select(F.col("id").alias("up"), F.col("parent").alias("next"), F.col("value").alias("theirs"))
-    for _ in range(depth):
-        out = out.join(look, "up", "left").select("id", F.when(F.col("value").isNull(), F.col("next")).alias("up"), F.coalesce("value", "theirs").alias("value"))
-        if depth > 4 and out.where("value is null and up is not null").isEmpty():
-            break
-    return out.select("id", "value")
-
-
-def dotted_names(nodes: DataFrame, levels: int) -> DataFrame:
-    """nodes: id, parent, name, kind, flags. Full names joined by dots from the root down, kind and flags inherited; level by level."""
-    done = nodes.where("parent is null").select("id", F.col("name").alias("full_name"), "kind", "flags", F.lit(0).alias("depth"))
-    out, front = done, done
-    for d in range(1, levels):
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the shared folder (spark.checkpoint.dir), where there is one; the plan only grows without it."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
+def inherited(nodes: DataFrame) -> DataFrame:
+    """nodes: id, parent, value. Every id with its own value or that of its nearest ancestor, and an error where its parents form a cycle. Pointer doubling: a join a
+    round, as many rounds as the logarithm of the deepest tree."""
+    out = _cut(nodes.select("id", F.when(F.col("value").isNull(), F.col("parent")).alias("up"), "value"))
+    left = nodes.count() + 1
+    while left and not out.where("up is not null").isEmpty():
+        look = out.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("value").alias("theirs"))
+        out = _cut(out.join(look, "up", "left").select("id", F.when(F.col("theirs").isNull(), F.col("next")).alias("up"), F.coalesce("value", "theirs").alias("value")))
+        left //= 2
+    return out.select("id", "value", F.when(F.col("up").isNotNull(), F.lit("the parents form a cycle")).alias("error"))
+
+
+def dotted_names(nodes: DataFrame) -> DataFrame:
+    """nodes: id, parent, name, kind, flags. Full names joined by dots from the root down, kind and flags inherited; level by level, until none is below."""
+    front = _cut(nodes.where("parent is null").select("id", F.col("name").alias("full_name"), "kind", "flags", F.lit(0).alias("depth")))
+    out, depth = None, 0
+    while not front.isEmpty():
+        out, depth = front if out is None else out.unionByName(front), depth + 1
         up = front.select(F.col("id").alias("parent"), F.col("full_name").alias("above"), F.col("kind").alias("k0"), F.col("flags").alias("f0"))
-        front = nodes.join(up, "parent").select("id", F.concat_ws(".", "above", "name").alias("full_name"), F.coalesce("kind", "k0").alias("kind"), F.coalesce("flags", "f0").alias("flags"), F.lit(d).alias("depth"))
-        out = out.unionByName(front)
-    return out
+        front = _cut(nodes.join(up, "parent").select("id", F.concat_ws(".", "above", "name").alias("full_name"), F.coalesce("kind", "k0").alias("kind"), F.coalesce("flags", "f0").alias("flags"), F.lit(depth).alias("depth")))
+    return front if out is None else out
 
 
 def field_type(kind: Column, flags: Column) -> Column:
@@ -120,18 +126,28 @@ def resolve_links(annots: DataFrame, pages: DataFrame, names: DataFrame | None =
     return a.select("doc_id", "seq", kind.alias("kind"), "uri", F.when(inner & F.col("uri").isNull(), F.coalesce("_pno", F.lit(-1))).alias("page"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
-    """edges: src, dst; start: id. All ids that can be reached; a join a round, each over new ids alone."""
-    seen = start.select("id").distinct()
-    front = seen
-    for _ in range(rounds):
-        front = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        seen = seen.unionByName(front)
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """edges: src, dst; start: id. All ids that can be reached; a join a round over new ids alone, until there are none."""
+    seen = front = _cut(start.select("id").distinct())
+    while not front.isEmpty():
+        front = _cut(front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
+        seen = _cut(seen.unionByName(front))
     return seen
 
 
-def prune(objects: DataFrame, edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
-    return objects.join(reachable(edges, start, rounds), "id", "left_semi")
+def prune(objects: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
+    return objects.join(reachable(edges, start), "id", "left_semi")
+
+
+def distinct_warnings(faults: DataFrame) -> DataFrame:
+    """faults: doc_id, seq, message. Every message of a document once, with the seq of its first occurrence."""
+    return faults.groupBy("doc_id", "message").agg(F.min("seq").alias("first_seen"))
+
+
+def ordered_attachments(files: DataFrame) -> DataFrame:
+    """files: doc_id, name and further columns. Attachments with their number in the document and their place by name."""
+    of = Window.partitionBy("doc_id")
+    return files.withColumn("n", F.count("*").over(of)).withColumn("place", F.row_number().over(of.orderBy("name")).cast("long"))
 
 
 def pack_objects(objects: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from vellumtide import schema
-from vellumtide.operators.layout import Line, _names, _per_page, cluster_lines, glyphs_of, line_text, segments
+from vellumtide.functions.checks import check_rect
+from vellumtide.operators.layout import Line, _names, _per_page, cluster_lines, glyphs_of, segments, words_of
 from vellumtide.sources.pagesource import PageSource
 
 # Fixed values of the document model.
@@ -100,7 +103,7 @@ def tile(rules, xs, ys) -> list[tuple[int, int, int, int]] | None:
                         tries += 1
                         if tries > MAX_TABLE_SPAN_CANDIDATES:
                             return None
-                        a = (ys[r1] - ys[r]) * (xs[c1] - xs[c])
+                        a = (r1 - r) * (c1 - c)  # slots, whatever their size
                         if (area is None or a < area) and not any((i, j) in used for i in range(r, r1) for j in range(c, c1)) and edges.bounded(r, r1, c, c1) and not edges.divided(r, r1, c, c1):
                             best, area = (r, r1, c, c1), a
                 if best is None:
@@ -110,19 +113,39 @@ def tile(rules, xs, ys) -> list[tuple[int, int, int, int]] | None:
     return out
 
 
-def _cell_text(glyphs, box) -> str:
-    tol = TABLE_SNAP_TOLERANCE
-    inside = []
-    for g in glyphs:
-        b = g.box()
-        x, y = (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
-        if box[0] - tol <= x <= box[2] + tol and box[1] - tol <= y <= box[3] + tol:
-            inside.append(g)
-    return "\n".join(line_text(x).strip() for x in cluster_lines(inside)) if inside else ""
+def _placed(glyphs) -> list[list[tuple[float, float, str]]]:
+    """Centre and text of every word, by physical line."""
+    return [[((b[0] + b[2]) / 2, (b[1] + b[3]) / 2, t) for b, t in words_of(x)] for x in cluster_lines(glyphs)] if glyphs else []
+
+
+def _cell_text(placed, box) -> str:
+    x0, y0, x1, y1 = box[0] - TABLE_SNAP_TOLERANCE, box[1] - TABLE_SNAP_TOLERANCE, box[2] + TABLE_SNAP_TOLERANCE, box[3] + TABLE_SNAP_TOLERANCE
+    inside = (" ".join(t for x, y, t in line if x0 <= x <= x1 and y0 <= y <= y1) for line in placed)
+    return "\n".join(t for t in inside if t)
+
+
+class Found(Sequence):
+    """Tables of one page on the driver, as `find` gives them: length, index, slice, iteration, and all their cells."""
+
+    def __init__(self, tables_: list[dict]):
+        self._tables = tuple(tables_)
+
+    def __len__(self) -> int:
+        return len(self._tables)
+
+    def __getitem__(self, at):
+        return Found(self._tables[at]) if isinstance(at, slice) else self._tables[at]
+
+    @property
+    def cells(self) -> list[tuple]:
+        return [c for t in self._tables for c in t["cells"]]
+
+    def __repr__(self) -> str:
+        return f"Found({len(self)} tables)"
 
 
 def grid_tables(glyphs, rules) -> list[dict]:
-    out = []
+    out, placed = [], _placed(glyphs)
     for group in _groups(rules):
         xs, ys = snap([r[0] for r in group if not r[4]]), snap([r[1] for r in group if r[4]])
         if len(xs) < 3 or len(ys) < 3 or (cells := tile(group, xs, ys)) is None:
@@ -130,13 +153,13 @@ def grid_tables(glyphs, rules) -> list[dict]:
         slots = [(r, c, None, None) for r in range(len(ys) - 1) for c in range(len(xs) - 1)]
         for r, r1, c, c1 in cells:
             box = (xs[c], ys[r], xs[c1], ys[r1])
-            slots[r * (len(xs) - 1) + c] = (r, c, box, _cell_text(glyphs, box))
+            slots[r * (len(xs) - 1) + c] = (r, c, box, _cell_text(placed, box))
         out.append({"box": (xs[0], ys[0], xs[-1], ys[-1]), "rows": len(ys) - 1, "cols": len(xs) - 1, "cells": slots, "strategy": "lines", "confidence": 1.0, "quality": (None, None, None)})
     return sorted(out, key=lambda t: (t["box"][1], t["box"][0]))
 
 
 def _fits(first: list[Line], prev: list[Line], cur: list[Line]) -> bool:
-    em = max(g.em for s in cur for g in s.glyphs)
+    em = max(g.em for row in (prev, cur) for s in row for g in s.glyphs)
     gap = min(s.box[1] for s in cur) - max(s.box[3] for s in prev)
     if len(cur) != len(first) or len(cur) != len(prev) or not -0.5 * em <= gap <= TEXT_TABLE_ROW_GAP * em:
         return False
@@ -160,7 +183,7 @@ def _text_table(run: list[list[Line]]) -> dict | None:
     vary, gutter = (max(gaps) - min(gaps)) / em, min(gutters) / em
     unit = lambda v: min(max(v, 0.0), 1.0)
     confidence = unit(0.65 + 0.10 * unit((len(run) - MIN_TEXT_TABLE_ROWS + 1) / 3) + 0.10 * unit(1 - error / TEXT_TABLE_ALIGNMENT_TOLERANCE) + 0.10 * unit(1 - vary / TEXT_TABLE_ROW_GAP) + 0.05 * unit(gutter / 4.0))
-    cells = [(r, c, (xs[c], ys[r], xs[c + 1], ys[r + 1]), line_text(s).strip()) for r, row in enumerate(run) for c, s in enumerate(row)]
+    cells = [(r, c, (xs[c], ys[r], xs[c + 1], ys[r + 1]), " ".join(t for _, t in words_of(s))) for r, row in enumerate(run) for c, s in enumerate(row)]
     return {"box": (xs[0], ys[0], xs[-1], ys[-1]), "rows": len(run), "cols": n, "cells": cells, "strategy": "text", "confidence": confidence, "quality": (error, gutter, vary)}
 
 
@@ -187,6 +210,7 @@ def text_tables(glyphs) -> list[dict]:
 def find(glyphs, rules, strategy: str = "lines", clip=None) -> list[dict]:
     if strategy not in ("lines", "text"):
         raise ValueError(f"no such table strategy: {strategy}")
+    clip = None if clip is None else check_rect(clip)
     got = grid_tables(glyphs, rules) if strategy == "lines" else text_tables(glyphs)
     tol = TABLE_SNAP_TOLERANCE
     inside = lambda b: clip is None or b[0] >= clip[0] - tol and b[1] >= clip[1] - tol and b[2] <= clip[2] + tol and b[3] <= clip[3] + tol
@@ -219,7 +243,7 @@ def _of_row(row, strategy, clip):
 
 
 def tables(pages: PageSource | DataFrame, strategy: str = "lines", clip=None) -> DataFrame:
-    find([], [], strategy)
+    find([], [], strategy, clip)
 
     def make(row):
         for n, t in enumerate(_of_row(row, strategy, clip)):
@@ -230,7 +254,7 @@ def tables(pages: PageSource | DataFrame, strategy: str = "lines", clip=None) ->
 
 def cells(pages: PageSource | DataFrame, strategy: str = "lines", clip=None) -> DataFrame:
     """Row-major cells; slots that a merged cell covers have neither box nor text."""
-    find([], [], strategy)
+    find([], [], strategy, clip)
 
     def make(row):
         for n, t in enumerate(_of_row(row, strategy, clip)):
@@ -248,4 +272,4 @@ def markdown_tables(pages: PageSource | DataFrame, strategy: str = "lines", fill
     return _per_page(pages, make, "table_no long, markdown string", ["table_no", "markdown"])
 
 
-__all__ = ["cells", "extract", "find", "grid_tables", "markdown_tables", "snap", "tables", "text_tables", "tile", "to_markdown"]
+__all__ = ["Found", "cells", "extract", "find", "grid_tables", "markdown_tables", "snap", "tables", "text_tables", "tile", "to_markdown"]

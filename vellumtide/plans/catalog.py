@@ -136,12 +136,36 @@ def heading_levels(spark, sf_dir):
     return markdown.levels(typesetter.pages(docs(spark, sf_dir)))
 
 
-@query()
+_MARKDOWN = (
+    _LINES
+    + r""", s AS (SELECT doc_id, size, sum(n) AS chars, min(ln) AS first FROM b GROUP BY doc_id, size),
+    m AS (SELECT doc_id, arg_max(size, chars * 100000 - first) AS body FROM s GROUP BY doc_id),
+    h AS (SELECT doc_id, size, least(dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC), 4) AS level FROM s JOIN m USING (doc_id) WHERE size > 1.15::DOUBLE * body),
+    t AS (SELECT doc_id, block_no, ln, trim(txt, ' ' || chr(9)) AS t, level FROM b LEFT JOIN h USING (doc_id, size) WHERE trim(txt, ' ' || chr(9)) <> ''),
+    k AS (SELECT *, CASE WHEN level IS NOT NULL THEN '#' WHEN regexp_matches(t, '^([・•●○◦▪‣–—*-][ 　]|[・•●○◦▪‣]|[0-9]{1,3}[.)][ 　])') THEN '-' ELSE '' END AS kind FROM t),
+    g AS (SELECT *, CASE WHEN kind = '' AND lag(kind) OVER w = '' AND lag(block_no) OVER w = block_no THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY ln)),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ln) AS run FROM g),
+    p AS (SELECT doc_id, run, any_value(kind) AS kind, string_agg(CASE WHEN kind = '#' THEN repeat('#', level::INT) || ' ' || t
+        WHEN kind = '-' AND regexp_matches(t, '^[0-9]') THEN regexp_replace(t, '^([0-9]{1,3})[.)][ 　]+', '\1. ') WHEN kind = '-' THEN '- ' || trim(substr(t, 2), ' 　') ELSE t END, ' ' ORDER BY ln) AS t FROM r GROUP BY doc_id, run),
+    j AS (SELECT *, CASE WHEN lag(kind) OVER w IS NULL THEN '' WHEN kind = '-' AND lag(kind) OVER w = '-' THEN chr(10) ELSE chr(10) || chr(10) END AS sep FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY run)),
+    f AS (SELECT doc_id, string_agg(sep || t, '' ORDER BY run) AS markdown FROM j GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(markdown, '') AS markdown FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id"""
+)
+
+
+@query(_MARKDOWN)
 def markdown_document(spark, sf_dir):
     return markdown.documents(typesetter.pages(docs(spark, sf_dir)))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT s_suppkey // 50 AS doc_id, row_number() OVER (PARTITION BY s_suppkey // 50 ORDER BY s_suppkey) - 1 AS n, length(s_suppkey::VARCHAR) AS a, length(rtrim(s_name)) AS b, length(s_nationkey::VARCHAR) AS c FROM supplier),
+    t AS (SELECT doc_id, count(*) AS rows, max(a) AS a, max(b) AS b, max(c) AS c FROM r GROUP BY doc_id HAVING count(*) >= 3),
+    g AS (SELECT *, least(240 - (40 + 5 * a), 440 - (240 + 5 * b))::DOUBLE / 10 AS gutter FROM t)
+    SELECT doc_id::BIGINT AS doc_id, 0::INT AS pno, 0::BIGINT AS table_no, 40::DOUBLE AS x0, 4::DOUBLE AS y0, (440 + 5 * c)::DOUBLE AS x1, (12 * rows + 2)::DOUBLE AS y1, rows::INT AS row_count, 3::INT AS col_count, 'text' AS strategy,
+      greatest(least(0.65::DOUBLE + 0.1::DOUBLE * least((rows - 2)::DOUBLE / 3, 1) + 0.1::DOUBLE + 0.1::DOUBLE + 0.05::DOUBLE * least(gutter / 4, 1), 1), 0)::DOUBLE AS confidence,
+      0::DOUBLE AS alignment_error_em, gutter AS minimum_gutter_em, 0::DOUBLE AS row_gap_variation_em FROM g"""
+)
 def text_tables(spark, sf_dir):
     """Suppliers set as rows of four aligned columns, 50 a page, found again as tables."""
     s = table(spark, sf_dir, "supplier")
@@ -255,7 +279,7 @@ def highlight_quads(spark, sf_dir):
     UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, CASE WHEN c_custkey % 5 = 0 THEN 'v' || c_name END FROM customer)
     SELECT a.id, coalesce(a.value, b.value, c.value) AS value FROM n a LEFT JOIN n b ON a.parent = b.id LEFT JOIN n c ON b.parent = c.id""")
 def inherited_attr(spark, sf_dir):
-    return structure.inherited(_tree(spark, sf_dir), 3)
+    return structure.inherited(_tree(spark, sf_dir)).select("id", "value")
 
 
 def _tree(spark, sf_dir):
@@ -286,7 +310,7 @@ def _fields(spark, sf_dir):
     some = F.col("n_nationkey") % 4 == 0
     f = f.unionByName(n.select(s("n", "n_nationkey").alias("id"), s("r", "n_regionkey").alias("parent"), F.col("n_name").alias("name"), F.when(some, "Ch").alias("kind"), F.when(some, 131072).alias("flags")))
     f = f.unionByName(c.select(s("c", "c_custkey").alias("id"), s("n", "c_nationkey").alias("parent"), F.col("c_name").alias("name"), none("string").alias("kind"), none("int").alias("flags")))
-    return structure.dotted_names(f, 3).select("id", "full_name", structure.field_type(F.col("kind"), F.col("flags")).alias("type"))
+    return structure.dotted_names(f).select("id", "full_name", structure.field_type(F.col("kind"), F.col("flags")).alias("type"))
 
 
 @query(_FIELD_SQL + " SELECT id, full_name, type FROM t")
@@ -364,8 +388,7 @@ def toc_validate(spark, sf_dir):
 def attachments(spark, sf_dir):
     """Attachments of one document a source, by name."""
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.col("n_chars").alias("size"))
-    w = Window.partitionBy("doc_id")
-    return d.select("doc_id", "name", F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy("name")).cast("long").alias("place"), "size")
+    return structure.ordered_attachments(d).select("doc_id", "name", "n", "place", "size")
 
 
 @query("""WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS src, 'l' || l_partkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT 'l' || p_partkey, 'p' || p_brand FROM part),
@@ -374,7 +397,7 @@ def prune_reachable(spark, sf_dir):
     s = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
     l, p, o = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
     e = o.join(l, F.col("l_orderkey") == F.col("o_orderkey")).select(s("o", "o_orderkey").alias("src"), s("l", "l_partkey").alias("dst")).unionByName(p.select(s("l", "p_partkey").alias("src"), s("p", "p_brand").alias("dst")))
-    return structure.reachable(e, o.where("o_orderkey % 97 = 0").select(s("o", "o_orderkey").alias("id")), 2)
+    return structure.reachable(e, o.where("o_orderkey % 97 = 0").select(s("o", "o_orderkey").alias("id")))
 
 
 @query("""SELECT p_size::BIGINT AS doc_id, p_partkey AS obj_num, ((row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1) // 100)::BIGINT AS stream, ((row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1) % 100)::BIGINT AS slot FROM part""")
@@ -384,7 +407,8 @@ def object_stream_pack(spark, sf_dir):
 
 @query("""SELECT user_id, event_type AS message, min(event_id) AS first_seen FROM events GROUP BY ALL""")
 def warnings_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("message")).agg(F.min("event_id").alias("first_seen"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("message"))
+    return structure.distinct_warnings(e).withColumnRenamed("doc_id", "user_id")
 
 
 # --- page sets -----------------------------------------------------------------------------------------------------

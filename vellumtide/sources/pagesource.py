@@ -55,6 +55,22 @@ class PageSource:
 
         return self.df.mapInPandas(run, f"doc_id {self.df.schema['doc_id'].dataType.simpleString()}, pno int, {columns}")
 
+    @property
+    def whole(self) -> bool:
+        """Whether an input row holds all pages of its document."""
+        return self.expand is not _same
+
+    def per_document(self, make: Callable[[list[dict]], Iterator[tuple]], columns: str, names: list[str]) -> DataFrame:
+        """make(pages) yields tuples of `names` for all pages of an input row, for sources of whole documents."""
+        expand = self.expand
+
+        def run(it):
+            for pdf in it:
+                rows = [(record["doc_id"], *t) for record in pdf.to_dict("records") for t in make(list(expand(record)))]
+                yield pd.DataFrame(rows, columns=["doc_id", *names])
+
+        return self.df.mapInPandas(run, f"doc_id {self.df.schema['doc_id'].dataType.simpleString()}, {columns}")
+
     def rows(self) -> DataFrame:
         expand = self.expand
 

@@ -117,31 +117,56 @@ def svg(page: Page) -> str:
     return "\n".join([*out, "</svg>"])
 
 
-def render(content: DataFrame, scale: float | None = None, dpi: float | None = None, background=(255, 255, 255, 255), clip=None, workers: int = 1) -> DataFrame:
-    """doc_id, pno, width, height, png of every page of doc_id, content. workers: partitions that share the work."""
+def _drawn(content: DataFrame, scale, dpi, background, clip, workers: int, pages: list[int] | None, names: list[str], columns: str, make) -> DataFrame:
+    """doc_id, ord, pno, `names` and error of the pages asked for, in that order and as often (None: all). make(RGBA pixels) gives a tuple of `names`."""
     if not isinstance(workers, int) or isinstance(workers, bool):
         raise TypeError("workers is a whole number")
     if not 1 <= workers <= 64:
         raise ValueError("from 1 to 64 workers")
-    s = scale_of(scale, dpi)
+    s, blank = scale_of(scale, dpi), (None,) * len(names)
+
+    def of_document(data):
+        try:
+            parsed = Pdf(bytes(data or b""))
+            known = parsed.pages()
+        except PdfFault as e:
+            yield (None, None, *blank, str(e))
+            return
+        wanted = range(len(known)) if pages is None else pages
+        last = {p: i for i, p in enumerate(wanted)}
+        held = {}
+        for i, p in enumerate(wanted):
+            n = p + len(known) if p < 0 else p
+            if not 0 <= n < len(known):
+                yield (i, p, *blank, f"no page {p}")
+                continue
+            if p not in held:
+                try:
+                    held[p] = (*make(pixmap(Page(parsed, known[n]), s, background, clip)), None)
+                except (PdfFault, ValueError) as e:
+                    held[p] = (*blank, str(e))
+            # A page that is asked for again is drawn once.
+            yield (i, n, *(held[p] if last[p] > i else held.pop(p)))
 
     def run(it):
         for pdf in it:
             for doc, data in zip(pdf["doc_id"], pdf["content"], strict=True):
-                try:
-                    parsed = Pdf(bytes(data or b""))
-                    pages = parsed.pages()
-                except PdfFault as e:
-                    yield pd.DataFrame([(doc, None, None, None, None, str(e))], columns=["doc_id", "pno", "width", "height", "png", "error"])
-                    continue
-                for n, p in enumerate(pages):
-                    try:
-                        img = pixmap(Page(parsed, p), s, background, clip)
-                        row = (doc, n, img.shape[1], img.shape[0], png(img.shape[1], img.shape[0], img.tobytes(), 4, PNG_FAST), None)
-                    except (PdfFault, ValueError) as e:
-                        row = (doc, n, None, None, None, str(e))
-                    yield pd.DataFrame([row], columns=["doc_id", "pno", "width", "height", "png", "error"])
+                for row in of_document(data):
+                    yield pd.DataFrame([(doc, *row)], columns=["doc_id", "ord", "pno", *names, "error"])
 
     src = content.select("doc_id", "content")
     src = src.repartition(workers) if workers > 1 else src
-    return src.mapInPandas(run, f"doc_id {content.schema['doc_id'].dataType.simpleString()}, pno int, width int, height int, png binary, error string")
+    return src.mapInPandas(run, f"doc_id {content.schema['doc_id'].dataType.simpleString()}, ord int, pno int, {columns}, error string")
+
+
+def render(content: DataFrame, scale: float | None = None, dpi: float | None = None, background=(255, 255, 255, 255), clip=None, workers: int = 1, pages: list[int] | None = None) -> DataFrame:
+    """PNG files of pages: doc_id, ord, pno, width, height, png, error. pages: numbers (negatives from the end) in any order, repeats too; a number
+    that a document doesn't have is an error in its row. workers: partitions that share the work."""
+    make = lambda img: (img.shape[1], img.shape[0], png(img.shape[1], img.shape[0], img.tobytes(), 4, PNG_FAST))
+    return _drawn(content, scale, dpi, background, clip, workers, pages, ["width", "height", "png"], "width int, height int, png binary", make)
+
+
+def pixmaps(content: DataFrame, scale: float | None = None, dpi: float | None = None, background=(255, 255, 255, 255), clip=None, workers: int = 1, pages: list[int] | None = None) -> DataFrame:
+    """Pixels of pages, as `render` takes them: width, height, n (bytes a pixel), stride (bytes a row) and samples, rows of RGBA from the top."""
+    make = lambda img: (img.shape[1], img.shape[0], 4, 4 * img.shape[1], img.tobytes())
+    return _drawn(content, scale, dpi, background, clip, workers, pages, ["width", "height", "n", "stride", "samples"], "width int, height int, n int, stride int, samples binary", make)

@@ -53,10 +53,15 @@ def parse(content: DataFrame, password: str | None = None, limit: int | None = N
     return PageSource(content.select("doc_id", "content"), expand)
 
 
-def read_pdf(spark: SparkSession, path: str, password: str | None = None, limit: int | None = None) -> PageSource:
-    """All PDF files under path; doc_id is the file's path."""
+def pdf_files(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id (the file's path) and content of all PDF files under path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path)
-    return parse(files.select(F.col("path").alias("doc_id"), "content"), password, limit)
+    return files.select(F.col("path").alias("doc_id"), "content")
+
+
+def read_pdf(spark: SparkSession, path: str, password: str | None = None, limit: int | None = None) -> PageSource:
+    """The pages of all PDF files under path."""
+    return parse(pdf_files(spark, path), password, limit)
 
 
 def peek(content: DataFrame, password: str | None = None) -> DataFrame:
