@@ -190,6 +190,15 @@ def test_fingerprints(spark, docs):
     assert len(same) == 1
     big = got[next(d for d, x in t if len(x) > 5000)]
     assert 0 < big["near_edited"] < 1
+    w = [f"w{k}" for k in range(6000)]
+    shared = lambda x, y: (lambda a, b: len(a & b) / len(a | b))(*({tuple(v[i : i + 5]) for i in range(len(v) - 4)} for v in (x, y)))
+    for k in (600, 1500, 3000, 5400):
+        other = w[:k] + [f"x{i}" for i in range(6000 - k)]
+        (a, b) = fingerprints.sketch(fingerprints.Bytes(), [" ".join(w), " ".join(other)])
+        assert fingerprints.likeness(a, b) == pytest.approx(shared(w, other), abs=0.04)
+    many = [(None if i % 3 else 5, f"{i} " + prose(20, i)) for i in range(60)] + [(5, "twice"), (5, "twice")]
+    rows = fingerprints.fingerprint_edits(spark.createDataFrame(many, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in rows) == Counter((d, len(t)) for d, t in many)
     (a, b) = fingerprints.sketch(fingerprints.Bytes(), [prose(900, 1), prose(900, 1) + " " + prose(9000, 2)])
     assert fingerprints.containment(a, b) > 0.99 and fingerprints.likeness(a, b) < 0.2
     assert fingerprints.fingerprint_edits(empty(spark)).count() == 0

@@ -8,7 +8,7 @@ A fingerprint is the number of distinct shingles and a sum of their hashes (both
 "n:sum:hashes". Equal texts have equal fingerprints. Texts too short to keep any hash are told apart by number and sum.
 
 Defined cases: null and empty texts have the fingerprint "0:00000000:"; equal fingerprints have likeness 1, otherwise two sketches without
-hashes have 0; a null doc_id sorts below every other; equal doc_ids sort by text.
+hashes have 0; a null doc_id sorts below every other; rows of equal doc_ids sort by a hash of their text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumtide.llm._kit import CHUNK_BYTES, U, Bytes, distinct, mix, shingles, table, utf8
+from vellumtide.llm._kit import CHUNK_BYTES, U, Bytes, distinct, mix, numbered, shingles, table, tasks, utf8
 
 WORDS = 5
 FRACTION = 0.25
@@ -76,11 +76,11 @@ _LOWEST = -(1 << 63)
 
 def _with_next(docs: DataFrame) -> DataFrame:
     """docs in runs of ascending key: _part, _key, _lead, doc_id, text. Each run begins with a copy (_lead) of the row that precedes it; that of the first
-    run is the very last row. Runs are cut at quantiles of the ids, so they are even whatever the ids are."""
+    run is the very last row. Runs are cut at quantiles of the ids, or of numbers of their own where rows share ids, so they are even whatever the ids are."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LOWEST)).alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)})
+    rows = numbered(docs).select("doc_id", F.col("_d").alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = 4 * tasks(docs)
+    cuts = sorted({int(x) for x in rows.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.2 / parts)})
 
     @F.pandas_udf("int")
     def part_of(key: pd.Series) -> pd.Series:
@@ -101,8 +101,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last third gives way to the start of the next document's."""
     rows = _with_next(docs)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "_part").sortWithinPartitions("_part", F.col("_lead").desc(), "_key", "text")
+    rows = rows.repartition(tasks(docs), "_part").sortWithinPartitions("_part", F.col("_lead").desc(), "_key", "text")
 
     def run(it):
         hasher = Bytes()

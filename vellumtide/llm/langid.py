@@ -3,7 +3,7 @@
 First the language family, by one linear support vector machine for each family against the rest; then, within the family, one linear support vector machine for
 each pair of its languages, and their vote. Features are the shares of hashed byte bigrams and trigrams. The machines are trained by dual
 coordinate descent on a bounded sample of labelled rows, whole texts and short stretches of them; scoring looks up one weight row for every
-byte of the whole text and averages them, vectorised over megabyte chunks, without a shuffle.
+byte of the whole text and averages them, vectorised over megabyte chunks (longer texts piece by piece), without a shuffle.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; so is everything if no row may be learned from; with a single
 known language the score is 1; repeated rows score alike; extra columns are ignored.
@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumtide.llm._kit import arrow_batches, ship, shipped, table
+from vellumtide.llm._kit import arrow_batches, pieces, ship, shipped, table
 
 #: About how many rows of each language are learned from.
 TRAIN_ROWS = 300
+#: Texts of more bytes aren't learned from, so that what the driver gets is bounded.
+LEARN_BYTES = 1 << 20
 #: Lengths in bytes of the short stretches that each of these rows adds.
 STRETCHES = (24, 60, 150)
 DIM = 1 << 12
@@ -130,14 +132,15 @@ class Hierarchy:
             return np.full(n, -1), np.zeros(n)
         if len(self.langs) == 1:
             return np.zeros(n, np.int64), np.ones(n)
-        a, b = _slots(data, offs)
-        size = np.diff(offs)
-        some = np.flatnonzero(size)
         margin = np.zeros((n, self.weights.shape[1]))
-        for c in range(0, self.weights.shape[1], 8):
-            w = np.ascontiguousarray(self.weights[:, c : c + 8])
-            margin[some, c : c + 8] = np.add.reduceat(w[a] + w[DIM + b.astype(np.int64)], offs[:-1][some], axis=0) / size[some, None] if len(some) else 0
-        margin += self.weights[-1]
+        for part, cut, row in pieces(data, offs):
+            a, b = _slots(part, cut)
+            some = np.flatnonzero(np.diff(cut))
+            for c in range(0, self.weights.shape[1], 8):
+                w = np.ascontiguousarray(self.weights[:, c : c + 8])
+                if len(some):
+                    margin[row[some], c : c + 8] += np.add.reduceat(w[a] + w[DIM + b.astype(np.int64)], cut[:-1][some], axis=0)
+        margin = margin / np.maximum(np.diff(offs), 1)[:, None] + self.weights[-1]
         f = len(self.families) if len(self.families) > 1 else 0
         best = margin[:, :f].argmax(1) if f else np.zeros(n, np.int64)
         sure = np.full(n, 9.0)
@@ -163,8 +166,9 @@ class Hierarchy:
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Hierarchy:
     """Learns from text and lang of about train_rows rows of each language, chosen by a hash of the id among those not held out."""
-    known = docs.where(~held_out(F.col("doc_id"))).where("lang is not null and text is not null").where(F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["n"] for r in docs.where(~held_out(F.col("doc_id"))).where("lang is not null and text is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    fit_for = docs.where(~held_out(F.col("doc_id"))).where("lang is not null and text is not null").where(F.octet_length("text") <= LEARN_BYTES)
+    known = fit_for.where(F.col("text").rlike("\\p{L}"))
+    counts = {r["lang"]: r["n"] for r in fit_for.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Hierarchy([], [])
     share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, train_rows / v)])

@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import json
 import random
+import sys
 import zlib
 from collections import Counter, deque
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -89,10 +90,12 @@ class Encoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One a process: tasks that share a Python worker share it."""
-    return Encoder(path)
+    """One a process, for tasks that share a Python worker. It hangs on `sys`, as functions travel to executors by value, with globals of their own."""
+    held = sys.__dict__.setdefault("_vellumtide_encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
