@@ -554,3 +554,14 @@ def test_perfect_packings_are_found(n, parts):
         assert sum(s * k for s, k in used.items()) <= 1024
         held += Counter({s: t * k for s, k in used.items()})
     assert held == Counter(items) and sum(t for t, _ in plan) == n
+
+
+def test_big_buckets_are_dealt_by_their_strings(spark, docs, monkeypatch):
+    """A passage of many documents, with other words around it each time."""
+    rows = [(i, prose(8 + i % 5, 500 + i) + " " + SHARED + " " + prose(9, 700 + i)) for i in range(40)] + [(100 + i, t) for i, t in enumerate(AWKWARD)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in suffixdedup.remove_repeats(d).collect())
+    monkeypatch.setattr(suffixdedup, "BIG_BUCKET", 3)
+    monkeypatch.setattr(suffixdedup, "BIG_SHARE", 0.0)
+    assert sorted((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in suffixdedup.remove_repeats(d).collect()) == want
+    assert sum(n > 0 for _, n, _ in want) > 39

@@ -10,6 +10,7 @@ Every byte covered by a LENGTH-byte string that also starts earlier, in the orde
 3. Their bytes are fetched, and their suffixes sorted by bucket-pointer refinement to depth LENGTH: suffixes start in buckets of
    their first 8 bytes; a bucket is refined by sorting on the bucket identifiers of the suffixes one depth later, and each
    round uses the identifiers that the last one refined, which doubles the depth. Of the strings of one last bucket the first stays.
+   A bucket that holds more than BIG_BUCKET stretches, and more than BIG_SHARE of all, is not sorted in one task: its strings go one by one, by a hash of all their bytes, and the first stays.
 4. The removed stretches of each document are united and cut out.
 
 A passage that a large share of all documents holds would gather its edge runs, all different, in one bucket. Such anchors are looked
@@ -37,6 +38,8 @@ GRAM = 40
 FREQUENT, SAMPLED = 0.004, 1 / 32
 #: Sampled documents that an anchor must stand in at least to count as frequent.
 LEAST_SAMPLED = 8
+#: Stretches, and share of all stretches, above which a bucket is dealt by its strings; there are at most 1 / BIG_SHARE of these buckets.
+BIG_BUCKET, BIG_SHARE = 65_536, 1 / 65_536
 _SEGMENT = 4 << 20
 _FLUSH = 1_000_000
 _POS = (1 << 24) - 1
@@ -302,16 +305,61 @@ def _compare(length: int):
     return run
 
 
+def _strings(length: int):
+    """d, s and a hash of every string of the stretches asked for."""
+
+    def run(it):
+        hasher = Bytes()
+        for batch in it:
+            for i, raw in enumerate(batch.column("raw")):
+                data = np.frombuffer(raw.as_py(), np.uint8)
+                at = np.arange(len(data) - length + 1)
+                h = hasher.span(hasher.prefix(data), at, at + length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column("_d")[i].as_py())), pa.array((batch.column("s")[i].as_py() + at).astype(np.int32)), pa.array(h.view(np.int64))], ["_d", "s", "h"])
+
+    return run
+
+
+def _after_first(length: int):
+    """Strings that an equal one precedes, of rows sorted by (h, _d, s)."""
+
+    def run(it):
+        last = None
+        for batch in it:
+            h, d, s = (batch.column(c).to_numpy() for c in ("h", "_d", "s"))
+            again = np.r_[last is not None and h[0] == last, h[1:] == h[:-1]] if len(h) else np.zeros(0, bool)
+            last = h[-1] if len(h) else last
+            if again.any():
+                yield _rows(*_spans(d[again], s[again].astype(np.int64), s[again].astype(np.int64) + length))
+
+    return run
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs as `numbered` gives them. _d, s, e: stretches of bytes to remove; they may overlap."""
     n = tasks(docs)
     docs = docs.select("_d", "text")
     runs = _scan(docs, 8 * n, length, gram, _frequent(docs, length, gram))
     settled = materialize(runs.repartition(n, "_b").mapInArrow(_settle(length), _ROWS), "runs")
-    want = settled.where("a is not null").groupBy("_d").agg(F.collect_list(F.struct("a", "s", "n", "e")).alias("want"))
+    open_ = settled.where("a is not null")
+    sizes = open_.groupBy("a").agg(F.count("*").alias("m"))
+    whole = sizes.agg(F.sum("m")).first()[0] or 0
+    big = materialize(sizes.where(F.col("m") > F.lit(max(float(BIG_BUCKET), BIG_SHARE * whole))).select("a"), "big")
+    want = open_.groupBy("_d").agg(F.collect_list(F.struct("a", "s", "n", "e")).alias("want"))
     fetched = docs.join(want, "_d").select("_d", "text", "want").mapInPandas(_fetch, "_d long, a long, s int, n int, raw binary")
-    compared = fetched.repartition(n, "a").mapInArrow(_compare(length), _ROWS)
-    return settled.where("a is null").select("_d", "s", "e").unionByName(compared.select("_d", "s", "e"))
+    found = [settled.where("a is null")]
+    if big.isEmpty():
+        found.append(fetched.repartition(n, "a").mapInArrow(_compare(length), _ROWS))
+    else:
+        fetched = materialize(fetched, "stretches")
+        small, large = (fetched.join(F.broadcast(big), "a", how).select("_d", "a", "s", "n", "raw") for how in ("left_anti", "left_semi"))
+        found.append(small.repartition(n, "a").mapInArrow(_compare(length), _ROWS))
+        strings = large.mapInArrow(_strings(length), "_d long, s int, h long")
+        found.append(strings.repartition(n, "h").sortWithinPartitions("h", "_d", "s").mapInArrow(_after_first(length), _ROWS))
+    out = found[0].select("_d", "s", "e")
+    for more in found[1:]:
+        out = out.unionByName(more.select("_d", "s", "e"))
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
