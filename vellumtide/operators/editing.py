@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from vellumtide.errors import PdfFault
-from vellumtide.operators.structure import INFO_KEYS
 from vellumtide.functions.checks import check_color, check_rect
+from vellumtide.operators.structure import INFO_KEYS
 from vellumtide.sources.inspect import Outline
 from vellumtide.sources.pdfobjects import Lexer, Name, Null, Op, Pdf, Ref, Stream
 from vellumtide.sources.pdfpage import Frame, jpeg_header, unpng
@@ -415,4 +415,21 @@ def edit(content: DataFrame, change: Callable[[Draft], None], password: str | No
     return content.select("doc_id", "content").mapInPandas(run, f"doc_id {content.schema['doc_id'].dataType.simpleString()}, content binary, error string")
 
 
+
+def merge_files(content: DataFrame, into: str, **save) -> DataFrame:
+    """content: doc_id, content and the column `into`. One document for each value of it, of the pages of its documents in the order of doc_id: doc_id, content, error (of documents that were left out)."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        whole, faults = Draft(None), []
+        for doc, data in pdf.sort_values("doc_id")[["doc_id", "content"]].itertuples(index=False):
+            try:
+                insert(whole, Draft(bytes(data or b"")))
+            except (PdfFault, ValueError) as e:
+                faults.append(f"{doc}: {e}")
+        return pd.DataFrame([(key[0], whole.save(**save), "; ".join(faults) or None)], columns=["doc_id", "content", "error"])
+
+    kind = content.schema[into].dataType.simpleString()
+    return content.select(into, "doc_id", "content").groupBy(into).applyInPandas(run, f"doc_id {kind}, content binary, error string")
+
+
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("Null", "annotations")]

@@ -588,6 +588,17 @@ def bomb_guard(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", stopped("text").alias("stopped"))
 
 
+@query("""SELECT doc_id // 10 AS doc_id, count(*)::INT AS pages, sum(length(replace(coalesce(text, ''), chr(10), '')))::BIGINT AS glyphs FROM documents GROUP BY ALL""")
+def merge_files(spark, sf_dir):
+    """The files of ten documents at a time merged into one, saved compactly and parsed again."""
+    from vellumtide.operators import editing
+
+    group = (F.col("doc_id") - F.pmod("doc_id", F.lit(10))) / 10
+    merged = editing.merge_files(typesetter.files(docs(spark, sf_dir)).withColumn("into", group.cast("long")), "into", deflate=True, object_streams=True)
+    p = readers.parse(merged)
+    return p.per_page(lambda row: [(row["page_count"], len(row["glyphs"]["text"]))], "pages int, glyphs long", ["pages", "glyphs"]).groupBy("doc_id").agg(F.max("pages").alias("pages"), F.sum("glyphs").alias("glyphs"))
+
+
 @query("""SELECT doc_id, 0::INT AS pno, 153::INT AS width, floor((12 * (1 + length(text) - length(replace(text, chr(10), ''))) + 24) * 0.25::DOUBLE)::INT AS height, '89504e47' AS magic FROM documents""")
 def render_png(spark, sf_dir):
     """Every document's page at a quarter of its size."""

@@ -107,6 +107,7 @@ _CODECS = (("RKSJ", "cp932"), ("UniJIS-UTF16", "utf-16-be"), ("UCS2", "utf-16-be
 
 class Font:
     def __init__(self, pdf: Pdf, head: dict, key: str):
+        self._memo: dict[bytes, tuple] = {}
         g = pdf.get
         self.key = key
         sub = g(head.get("Subtype"))
@@ -172,16 +173,31 @@ class Font:
         flags = flags if isinstance(flags, int) else 0
         self.flags = (ITALIC if flags & 64 or "italic" in low or "oblique" in low else 0) | (SERIF if flags & 2 or "times" in low or "serif" in low and "sans" not in low else 0) | (MONO if flags & 1 or "courier" in low or "mono" in low else 0) | (BOLD if flags & (1 << 18) or "bold" in low or "black" in low else 0)
 
+    def _known(self, c: bytes) -> tuple[bytes, str, float | None]:
+        """Code, text and advance in text space (or None) of a character; each is looked up once."""
+        if (got := self._memo.get(c)) is None:
+            num = int.from_bytes(c, "big")
+            text = self.to_unicode.get(c)
+            if text is None:
+                text = self.map.get(num, "") if self.map else c.decode(self.codec, "ignore") if self.codec else ""
+            w = self.widths.get(num, self.default)
+            if w is None and text:
+                w = standard_width(self.name, text[0])
+            got = self._memo[c] = (c, text, None if w is None else w * self.unit)
+        return got
+
     def codes(self, raw: bytes):
         """(code bytes, text, advance in text space or None) of each character."""
+        if self.codec is None and not self.two:
+            for i in range(len(raw)):
+                yield self._known(raw[i : i + 1])
+            return
         i = 0
         while i < len(raw):
             if self.codec is not None and not self.two:
                 n = 2 if raw[i] >= 0x81 and not 0xA0 <= raw[i] <= 0xDF or raw[i] >= 0xE0 and self.codec == "cp932" else 1
-            elif self.two:
-                n = 2
             else:
-                n = 1
+                n = 2
             if self.lengths != {1} and not self.codec and self.two:
                 n = max(self.lengths)
                 for k in sorted(self.lengths):
@@ -190,14 +206,7 @@ class Font:
                         break
             c = raw[i : i + n]
             i += max(n, 1)
-            num = int.from_bytes(c, "big")
-            text = self.to_unicode.get(c)
-            if text is None:
-                text = self.map.get(num, "") if self.map else c.decode(self.codec, "ignore") if self.codec else ""
-            w = self.widths.get(num, self.default)
-            if w is None and text:
-                w = standard_width(self.name, text[0])
-            yield c, text, None if w is None else w * self.unit
+            yield self._known(c)
 
 
 class Frame:
@@ -370,19 +379,31 @@ class Page:
                 continue
             if not isinstance(it, bytes) or font is None:
                 continue
+            # Only the origin moves along a string: the linear part, and what follows from it, stays.
+            ctm, rise = gs["ctm"], gs["rise"]
+            m = mul((size * th, 0, 0, size, 0, rise), mul(tm, ctm))
+            up, across = math.hypot(m[2], m[3]), math.hypot(m[0], m[1])
+            high = up if math.isfinite(up) and up > 0 else 12.0
+            dx, dy = (m[0] / across, m[1] / across) if across > 0 else (1.0, 0.0)
+            if font.vertical:
+                dx, dy = -m[2] / up if up else 0.0, -m[3] / up if up else 1.0
+            dx, dy = 0.0 if abs(dx) < 1e-9 else dx, 0.0 if abs(dy) < 1e-9 else dy
+            t2, t3 = tm[2] * ctm[0] + tm[3] * ctm[2], tm[2] * ctm[1] + tm[3] * ctm[3]
+            a, b, c, d, e, f = tm
+            tail = (dx, dy, int(font.vertical), font.key, font.name, font.flags)
             for code, text, w in font.codes(it):
-                m = mul((size * th, 0, 0, size, 0, gs["rise"]), mul(tm, gs["ctm"]))
-                up = math.hypot(m[2], m[3])
-                high = up if math.isfinite(up) and up > 0 else 12.0
-                across = math.hypot(m[0], m[1])
-                advance = (w if w is not None else 0.5) * (across if w is not None else high)
-                dx, dy = (m[0] / across, m[1] / across) if across > 0 else (1.0, 0.0)
-                if font.vertical:
-                    dx, dy, advance = -m[2] / up if up else 0.0, -m[3] / up if up else 1.0, high
                 if text:
-                    self.glyphs.append((text, m[4], m[5], high, advance, 0.0 if abs(dx) < 1e-9 else dx, 0.0 if abs(dy) < 1e-9 else dy, int(font.vertical), font.key, font.name, font.flags))
+                    x, y = rise * t2 + (e * ctm[0] + f * ctm[2] + ctm[4]), rise * t3 + (e * ctm[1] + f * ctm[3] + ctm[5])
+                    advance = high if font.vertical else w * across if w is not None else 0.5 * high
+                    self.glyphs.append((text, x, y, high, advance, *tail))
                 step = gs["tc"] + (gs["tw"] if code == b" " else 0.0)
-                tm = mul((1, 0, 0, 1, 0, -size - step), tm) if font.vertical else mul((1, 0, 0, 1, ((w if w is not None else 0.5) * size + step) * th, 0), tm)
+                if font.vertical:
+                    down = -size - step
+                    e, f = down * c + e, down * d + f
+                else:
+                    along = ((w if w is not None else 0.5) * size + step) * th
+                    e, f = along * a + e, along * b + f
+            tm = (a, b, c, d, e, f)
         return tm
 
     def _paint(self, path, curved, op, gs) -> None:

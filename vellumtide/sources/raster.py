@@ -46,6 +46,18 @@ def _fill(img: np.ndarray, points, color) -> None:
             img[y, max(0, math.ceil(a - 0.5)) : max(0, min(w, math.ceil(b - 0.5)))] = color
 
 
+def _boxes(img: np.ndarray, boxes: list[tuple], scale: float) -> None:
+    """Black boxes over all pixel centres that one of them holds: corners count up and down, running sums tell what is inside."""
+    if not boxes:
+        return
+    h, w = img.shape[:2]
+    x0, y0, x1, y1 = (np.ceil(np.array(v) * scale - 0.5).clip(0, most).astype(np.int64) for v, most in zip(zip(*boxes), (w, h, w, h)))
+    edge = np.zeros((h + 1, w + 1), np.int32)
+    for y, x, by in ((y0, x0, 1), (y1, x1, 1), (y0, x1, -1), (y1, x0, -1)):
+        np.add.at(edge, (y, x), by)
+    img[edge.cumsum(0).cumsum(1)[:h, :w] > 0] = (0, 0, 0, 255)
+
+
 def _image(img: np.ndarray, corners, pixels) -> None:
     iw, ih, data, n = pixels
     src = np.frombuffer(data, np.uint8).reshape(ih, iw, n)
@@ -90,9 +102,7 @@ def pixmap(page: Page, scale: float = 1.0, background=(255, 255, 255, 255), clip
                 n = math.hypot(x1 - x0, y1 - y0) or 1.0
                 nx, ny = -(y1 - y0) / n * half, (x1 - x0) / n * half
                 _fill(img, [(x0 + nx, y0 + ny), (x1 + nx, y1 + ny), (x1 - nx, y1 - ny), (x0 - nx, y0 - ny)], color)
-    for text, x, y, size, advance, *_ in page.glyphs:
-        if not text.isspace():
-            _fill(img, [(x * scale, (y - 0.5 * size) * scale), ((x + 0.8 * advance) * scale, (y - 0.5 * size) * scale), ((x + 0.8 * advance) * scale, y * scale), (x * scale, y * scale)], [0, 0, 0, 255])
+    _boxes(img, [(x, y - 0.5 * size, x + 0.8 * advance, y) for text, x, y, size, advance, *_ in page.glyphs if not text.isspace()], scale)
     if clip is not None:
         x0, y0 = max(0, math.floor(clip[0] * scale)), max(0, math.floor(clip[1] * scale))
         x1, y1 = min(w, math.ceil(clip[2] * scale)), min(h, math.ceil(clip[3] * scale))
