@@ -189,6 +189,20 @@ def _set_rows(pages: DataFrame) -> PageSource:
     return PageSource(pages, expand)
 
 
+@query(
+    """WITH r AS (SELECT s_suppkey // 50 AS doc_id, row_number() OVER (PARTITION BY s_suppkey // 50 ORDER BY s_suppkey) - 1 AS k, count(*) OVER (PARTITION BY s_suppkey // 50) AS m, rtrim(s_name) AS name FROM supplier),
+    c AS (SELECT *, (m + 1) // 2 AS half, CASE WHEN k >= (m + 1) // 2 THEN 1 ELSE 0 END AS side FROM r), p AS (SELECT *, 40 + 200 * side AS x, 12 * (k - half * side) + 12 AS y FROM c)
+    SELECT doc_id::BIGINT AS doc_id, 0::INT AS pno, k::BIGINT AS line_no, x::DOUBLE AS x0, (y - 8)::DOUBLE AS y0, (x + 5 * length(name))::DOUBLE AS x1, (y + 2)::DOUBLE AS y1, FALSE AS vertical, 1::INT AS segments, name AS text FROM p"""
+)
+def reading_order_columns(spark, sf_dir):
+    """Supplier names in two columns of a page, 50 a page: the left one is read first."""
+    s = table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 50).alias("doc_id"), F.struct("s_suppkey", F.rtrim("s_name").alias("name")).alias("s"))
+    page = s.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["name"]).alias("names"))
+    half = F.floor((F.size("names") + 1) / 2).cast("int")
+    left, right = F.slice("names", F.lit(1), half), F.slice("names", half + 1, F.size("names"))
+    return layout.lines(_set_rows(page.select("doc_id", F.array_join(F.zip_with(left, right, lambda a, b: F.concat_ws("\t", a, b)), "\n").alias("text"))))
+
+
 # --- geometry ------------------------------------------------------------------------------------------------------
 
 _BOX = "l_quantity AS x, l_extendedprice / 100 AS y, (l_linenumber % 4) * 90 AS rot, 10.0::DOUBLE AS bx0, 20.0::DOUBLE AS by0, 610.0::DOUBLE AS bx1, 812.0::DOUBLE AS by1"
@@ -535,6 +549,79 @@ def insert_text(spark, sf_dir):
     return p.per_page(lambda row: [(row["page_count"], len(row["glyphs"]["text"]))], "pages int, glyphs long", ["pages", "glyphs"])
 
 
+def _edited(spark, sf_dir, change, make, columns: str) -> DataFrame:
+    """change(draft) on every document's file, saved and parsed; make(page row) gives one tuple a page."""
+    from vellumtide.operators import editing
+
+    p = readers.parse(editing.edit(typesetter.files(docs(spark, sf_dir)), change))
+    return p.per_page(lambda row: [make(row)], columns, [c.split()[0] for c in columns.split(", ")])
+
+
+@query("""SELECT doc_id, 0::INT AS pno, md5(replace(replace(coalesce(text, ''), 'the', 'THE'), chr(10), '')) AS digest FROM documents""")
+def replace_text(spark, sf_dir):
+    from vellumtide.operators import editing
+
+    def change(d):
+        editing.replace_text(d, 0, "the", "THE")
+
+    def digest(row):
+        import hashlib
+
+        return (hashlib.md5("".join(row["glyphs"]["text"]).encode()).hexdigest(),)
+
+    return _edited(spark, sf_dir, change, digest, "digest string")
+
+
+@query("""SELECT doc_id, 0::INT AS pno, 2::INT AS width, 3::INT AS height, 'png' AS ext, 100::DOUBLE AS x0, 20::DOUBLE AS y0, 120::DOUBLE AS x1, 50::DOUBLE AS y1, '00ff00' AS pixel FROM documents""")
+def insert_image(spark, sf_dir):
+    """A picture drawn on every page, and taken out again."""
+    from vellumtide.operators import editing
+    from vellumtide.sources.pdfpage import png, unpng
+
+    def change(d):
+        editing.insert_image(d, 0, (100, 20, 120, 50), png(2, 3, bytes([0, 255, 0] * 6), 3))
+
+    def image(row):
+        (got,) = row["images"]
+        return got["width"], got["height"], got["ext"], *(got["bbox"][k] for k in ("x0", "y0", "x1", "y1")), unpng(got["image"])[2][:3].hex()
+
+    return _edited(spark, sf_dir, change, image, "width int, height int, ext string, x0 double, y0 double, x1 double, y1 double, pixel string")
+
+
+@query("""SELECT doc_id, 0::INT AS pno, length(replace(coalesce(text, ''), chr(10), '')) + 5 AS glyphs, 'inner' AS tail FROM documents""")
+def show_page(spark, sf_dir):
+    """A page of another document set into every page."""
+    from vellumtide.operators import editing
+    from vellumtide.sources.pdfwriter import Draft, text_document
+
+    def change(d):
+        editing.show_page(d, 0, (300, 5, 400, 30), Draft(text_document([[(40, 20, 20, "inner")]])))
+
+    return _edited(spark, sf_dir, change, lambda row: (len(row["glyphs"]["text"]), "".join(row["glyphs"]["text"][-5:])), "glyphs long, tail string")
+
+
+@query("""SELECT doc_id, 0::INT AS pno, length(replace(coalesce(text, ''), chr(10), '')) + 6 AS glyphs, 'scan日本' AS tail, 10::DOUBLE AS x, 10::DOUBLE AS size FROM documents""")
+def ocr_layer(spark, sf_dir):
+    """Two invisible words on every page."""
+    from vellumtide.operators import editing
+
+    def change(d):
+        editing.add_ocr_layer(d, 0, [(10, 10, 50, 20, "scan"), (60, 10, 80, 20, "日本")])
+
+    return _edited(spark, sf_dir, change, lambda row: (len(row["glyphs"]["text"]), "".join(row["glyphs"]["text"][-6:]), row["glyphs"]["x"][-6], row["glyphs"]["size"][-6]), "glyphs long, tail string, x double, size double")
+
+
+@query("""SELECT doc_id, 0::INT AS pno, 200::DOUBLE AS width, 300::DOUBLE AS height, 90::INT AS rotation FROM documents""")
+def rotate_and_crop(spark, sf_dir):
+    from vellumtide.operators import editing
+
+    def change(d):
+        editing.set_rotation(d, 0, 450)
+        editing.set_box(d, 0, (0, 0, 300, 200), "CropBox")
+
+    return _edited(spark, sf_dir, change, lambda row: (row["width"], row["height"], row["rotation"]), "width double, height double, rotation int")
+
+
 @query("""SELECT doc_id, '1:one:1' AS toc, 'R:x-:7' AS label, 'http://h/' AS uri, 'Link,Highlight' AS kinds, 'a.txt=data' AS attached, 'New' AS title FROM documents""")
 def structure_roundtrip(spark, sf_dir):
     """Outline, labels, link, highlight, attachment and title written into every document and read back."""
