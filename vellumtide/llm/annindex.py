@@ -28,7 +28,7 @@ BOOKS, WORDS, BEAM = 32, 64, 2
 TRAIN_ROWS = 8192
 ROUNDS = 1
 #: Candidates of each query that are ranked exactly, up to so many rows.
-RERANK, RERANK_ROWS = 256, 65_536
+RERANK, RERANK_ROWS = 512, 65_536
 #: Queries and codes in a block; slices of the index at most, and tasks below which it is cut into more of them.
 QUERY_BLOCK, ROW_BLOCK, MOST_SLICES, ENOUGH = 512, 4096, 16, 64
 
