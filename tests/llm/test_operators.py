@@ -565,3 +565,28 @@ def test_big_buckets_are_dealt_by_their_strings(spark, docs, monkeypatch):
     monkeypatch.setattr(suffixdedup, "BIG_SHARE", 0.0)
     assert sorted((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in suffixdedup.remove_repeats(d).collect()) == want
     assert sum(n > 0 for _, n, _ in want) > 39
+
+
+def test_rare_expressions_count_at_any_size(spark, monkeypatch):
+    """What is too rare to go to the executors is joined: the same probabilities and scores, whatever share of the bytes they need for that."""
+    rows, labels = [], []
+    for i in range(500):
+        r = random.Random(i)
+        w = [r.choice(WORDS) for _ in range(25)]
+        w[r.randrange(25)] = r.choice(["vilequark", "scummy", "悪語言", f"odd{i}"]) if i % 3 == 0 else f"fine{i % 40}"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    rows += [(600, None), (601, ""), (602, "never seen ZZyzx zzyzx " + "q" * 300), (603, "scummy " * 400), (603, "scummy " * 400), (None, "a vilequark")]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    counted = toxicity.count(d.join(l, "doc_id")).cache()
+    n = counted.selectExpr("sum(toxic) t", "sum(ordinary) o").first()
+    cols = ["key", "history", "toxic", "ordinary", "freed_toxic", "freed_ordinary"]
+    of = lambda share: {r["key"]: tuple(r) for r in toxicity.models(counted, n["t"], n["o"], share=share).select(cols).collect()}
+    assert len(every := of(0.0)) == counted.count() and of(0.01) == every
+    got = []
+    for share in (0.0, 0.002, 1.0):
+        monkeypatch.setattr(toxicity, "SHARE", share)
+        s = toxicity.fit(d, l, 300, 100)
+        got.append(Counter((x["doc_id"], x["score"], x["predicted"]) for x in toxicity.score(d, s, ["doc_id"]).collect()))
+    assert got[0] == got[1] == got[2] and sum(got[0].values()) == len(rows)
+    assert {k[0]: k[2] for k in got[0]}[603] == 1

@@ -8,14 +8,17 @@ behind it, so text in brackets, behind a hyphen or in a script without spaces is
 
 where lambda_c(h) is the mass that the discounts of class c free at h, and S is one distribution that both classes share: interpolated Kneser-Ney over continuation counts (the
 number of different longer expressions that end in hx), level by level down to single bytes. So a rare expression is smoothed alike in both models, and what neither has seen weighs
-only by their freed masses. Expressions below SHARE of the bytes of both classes keep their backoff counts, but get no count of their own (a cutoff as in other language models), so
-at most 2 / SHARE expressions go to the executors, however large the corpus is.
+only by their freed masses. Every expression keeps its count, however rare it is and however large the corpus is.
+
+A word's log-likelihood ratio depends on its bytes alone. Expressions of at least SHARE of a class's bytes, 2 / SHARE of them at most, go to the executors, and words that consist of
+them are settled where they stand. Words that hold any other expression travel: each different one gets its expressions from the whole models by joins, and its ratio returns to
+the texts that hold it. Ratios are multiples of 1 / UNIT nats, so sums don't depend on their order: SHARE decides only how expressions travel, no score depends on it (a test holds this).
 
 The log-likelihoods are compared length-normalised: by byte over the whole text, and by word, for a few toxic words in a long text say more than the text's mean. A logistic fit on
 labelled rows that the models haven't seen makes a probability of them.
 
-Counts are combined within a task, then by expression; every table of the models stays distributed until the cutoff. Only the calibration takes a bounded sample of rows.
-Scoring is vectorised over megabyte chunks of whole texts (longer texts piece by piece), with no shuffle.
+Counts are combined within a task, then by expression; every table of the models stays distributed. Only the calibration takes a bounded sample of rows.
+Scoring is vectorised over megabyte chunks of whole texts (longer texts piece by piece); of texts, only their words of rare expressions are shuffled.
 
 Defined cases: null and empty texts have no evidence and score the calibrated prior; null labels teach nothing; a class without labelled rows
 gives every text the share of toxic labels (0 without labels); repeated rows score alike; other columns are ignored.
@@ -27,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from vellumtide.llm._kit import U, arrow_batches, materialize, mix, pieces, ship, shipped, table
+from vellumtide.llm._kit import U, arrow_batches, hot_keys, join_hot, materialize, mix, pieces, row_chunks, ship, shipped, table
 
 #: Bytes of an expression: a byte and its history.
 ORDER = 8
@@ -36,8 +40,10 @@ ORDER = 8
 TRAIN_ROWS, CALIBRATE_ROWS = 3000, 1000
 #: Taken off every count.
 DISCOUNT = 0.75
-#: Share of the bytes of a class that an expression must be to have a count of its own.
+#: Share of the bytes of a class that an expression must be to go to the executors; the others are joined.
 SHARE = 2.0**-22
+#: Log-likelihood ratios are integers, this many to a nat.
+UNIT = 1 << 20
 #: Nats above which a word's log-likelihood ratio speaks for itself.
 LOUD = 4.0
 _SLOT_BITS = 21
@@ -146,28 +152,27 @@ def shared(counted: DataFrame) -> DataFrame:
 
 
 def models(counted: DataFrame, n_toxic: int, n_ordinary: int, share: float = SHARE) -> DataFrame:
-    """key, history, toxic, ordinary (log probabilities of both models), freed_toxic and freed_ordinary (logs of lambda) of every expression above the cutoff."""
+    """key, history, toxic, ordinary (log probabilities of both models), freed_toxic and freed_ordinary (logs of lambda) of every expression; hot: whether it is `share` of a class's bytes."""
     of = Window.partitionBy("history")
-    c = counted.withColumn("history", _history(F.col("key"))).withColumn("kept", (F.col("toxic") >= max(1.0, share * n_toxic)) | (F.col("ordinary") >= max(1.0, share * n_ordinary)))
+    c = counted.withColumn("history", _history(F.col("key"))).withColumn("hot", (F.col("toxic") >= max(1.0, share * n_toxic)) | (F.col("ordinary") >= max(1.0, share * n_ordinary)))
     for name in ("toxic", "ordinary"):
-        took = F.when(F.col("kept"), F.greatest(F.col(name) - F.lit(DISCOUNT), F.lit(0.0))).otherwise(F.lit(0.0))
+        took = F.greatest(F.col(name) - F.lit(DISCOUNT), F.lit(0.0))
         whole = F.greatest(F.sum(name).over(of), F.lit(1))
         c = c.withColumn(f"own_{name}", took / whole).withColumn(f"freed_{name}", F.when(F.sum(name).over(of) > 0, 1 - F.sum(took).over(of) / whole).otherwise(F.lit(1.0)))
     size = F.floor(F.length(F.hex("key")) / 2)
     suffix = _low(F.col("key"), ORDER - 1)
     for n in range(1, ORDER - 1):
         suffix = F.when(size == n, _low(F.col("key"), n)).otherwise(suffix)
-    c = c.where("kept").withColumn("k", suffix)
-    c = c.join(shared(counted).select(F.col("key").alias("k"), "p"), "k")
+    c = c.withColumn("k", suffix).join(shared(counted).select(F.col("key").alias("k"), "p"), "k")
     logs = [F.log(F.col(f"own_{x}") + F.col(f"freed_{x}") * F.col("p")).alias(x) for x in ("toxic", "ordinary")]
-    return c.select("key", "history", *logs, *[F.log(f"freed_{x}").alias(f"freed_{x}") for x in ("toxic", "ordinary")])
+    return c.select("key", "history", *logs, *[F.log(f"freed_{x}").alias(f"freed_{x}") for x in ("toxic", "ordinary")], "hot")
 
 
 class Model:
-    """Log-likelihood ratios, toxic to ordinary: of expressions above the cutoff, and of the masses freed at their histories."""
+    """Log-likelihood ratios, toxic to ordinary, of hot expressions."""
 
-    def __init__(self, keys: np.ndarray, ratios: np.ndarray, histories: np.ndarray, freed: np.ndarray):
-        self.known, self.freed = self._table(keys, ratios.astype(np.float32)), self._table(histories, freed.astype(np.float32))
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        self.known = self._table(keys, ratios.astype(np.int32))
 
     @staticmethod
     def _table(keys: np.ndarray, values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -176,17 +181,17 @@ class Model:
         while len(keys):
             bits = min(_SLOT_BITS, max(8, int(len(keys)).bit_length() + 1))
             slot = (mix(keys + U(salt * 977 + 1)) >> U(64 - bits)).astype(np.int64)
-            held, value = np.full(1 << bits, (1 << 64) - 1, np.uint64), np.zeros(1 << bits, np.float32)
+            held, value = np.full(1 << bits, (1 << 64) - 1, np.uint64), np.zeros(1 << bits, np.int32)
             held[slot], value[slot] = keys, values
             out.append((held, value, salt))
             rest = held[slot] != keys
             keys, values, salt = keys[rest], values[rest], salt + 1
         return out
 
-    @staticmethod
-    def _look(tables: list, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        got, found, left = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool), np.arange(len(keys))
-        for held, value, salt in tables:
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios of keys (0 where not hot), and which are hot."""
+        got, found, left = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), np.arange(len(keys))
+        for held, value, salt in self.known:
             k = keys[left]
             slot = (mix(k + U(salt * 977 + 1)) >> U(64 - (len(held).bit_length() - 1))).astype(np.int64)
             hit = held[slot] == k
@@ -194,29 +199,107 @@ class Model:
             left = left[~hit]
         return got, found
 
-    def evidence(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Bytes, sum of the log-likelihood ratios, greatest of a word's, and sum of what words have above LOUD; a row a text, zeros for empty ones."""
-        out = np.zeros((len(offs) - 1, 4))
+    def evidence(self, data: np.ndarray, offs: np.ndarray, others: list | None = None) -> np.ndarray:
+        """Bytes, sum of the log-likelihood ratios, greatest of a word's, and sum of what words have above LOUD; a row a text, zeros for empty ones.
+        Words that hold an expression that isn't hot are left out, and added to `others`: text, bytes, length of each."""
+        out = np.zeros((len(offs) - 1, 4), np.int64)
         out[:, 0] = np.diff(offs)
         for part, cut, row in pieces(data, offs):
             key, at = expressions(part, cut)
             if not len(at):
                 continue
-            ratio, found = self._look(self.known, key)
-            miss = np.flatnonzero(~found)
-            ratio[miss] = self._look(self.freed, key[miss] >> U(8))[0]
-            word = np.add.reduceat(ratio.astype(np.float64), at)
+            ratio, found = self.look(key)
+            settled = np.logical_and.reduceat(found, at)
+            word = np.where(settled, np.add.reduceat(ratio, at), 0)
             some = np.flatnonzero(np.diff(cut))
             lead = np.searchsorted(at, cut[:-1][some])
             np.add.at(out[:, 1], row[some], np.add.reduceat(word, lead))
             np.maximum.at(out[:, 2], row[some], np.maximum.reduceat(word, lead))
-            np.add.at(out[:, 3], row[some], np.add.reduceat(np.maximum(word - LOUD, 0), lead))
+            np.add.at(out[:, 3], row[some], np.add.reduceat(np.maximum(word - int(LOUD * UNIT), 0), lead))
+            if others is not None and not settled.all():
+                size = np.diff(np.r_[at, len(part)])
+                others.append((row[np.searchsorted(cut, at[~settled], "right") - 1], _FOLD[part][np.repeat(~settled, size)], size[~settled]))
         return out
 
 
+_WORDS = ArrayType(StructType([StructField("word", BinaryType()), StructField("times", LongType())]))
+_EVIDENCE = ["n", "total", "most", "loud"]
+
+
+def _by_text(others: list, n: int) -> pa.ListArray:
+    """The different words of each of n texts, and how often each stands there."""
+    row, raw, size = (np.concatenate([np.zeros(0, t), *x]) for x, t in zip(zip(*others) if others else [()] * 3, (np.int64, np.uint8, np.int64)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary()).dictionary_encode()
+    each, times = np.unique(row * (len(words.dictionary) + 1) + words.indices.to_numpy(), return_counts=True)
+    row, word = np.divmod(each, len(words.dictionary) + 1)
+    cells = pa.StructArray.from_arrays([words.dictionary.take(pa.array(word)), pa.array(times, pa.int64())], ["word", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), cells)
+
+
+def _asked(sent):
+    """Of every word (_w, word) the sum of its hot expressions' ratios (key null), and its other expressions."""
+
+    def run(it):
+        model = shipped(sent)
+        for batch in it:
+            w, col = batch.column(0).to_numpy(), batch.column(1).cast(pa.large_binary())
+            offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+            data = np.frombuffer(col.buffers()[2], np.uint8)
+            for a, b in row_chunks(offs):
+                key, at = expressions(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                ratio, found = model.look(key)
+                miss = np.flatnonzero(~found)
+                of = w[a:b][np.searchsorted(at, miss, "right") - 1]
+                none = np.arange(len(miss) + b - a) < b - a
+                keys = pa.array(np.r_[np.zeros(b - a, np.int64), key[miss].view(np.int64)], mask=none)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[w[a:b], of]), keys, pa.array(np.r_[np.add.reduceat(ratio, at), np.zeros(len(miss), np.int64)])], ["_w", "key", "value"])
+
+    return run
+
+
+def _ratios(words: DataFrame, sent, found: DataFrame) -> DataFrame:
+    """_w, value: the log-likelihood ratio of every word (_w, word). An expression that no class holds has the ratio of the masses freed at its history; 0 where that is unknown too."""
+    asked = materialize(words.select("_w", "word").mapInArrow(_asked(sent), "_w long, key long, value long"), "asked")
+    keys = asked.where("key is not null").select("_w", "key")
+    each = keys.select("key").distinct().withColumn("history", _history(F.col("key")))
+    freed = found.groupBy("history").agg(F.max("freed").alias("freed"))
+    each = each.join(found.where("not hot").select("key", "ratio"), "key", "left").join(freed, "history", "left")
+    each = materialize(each.select("key", F.coalesce("ratio", "freed", F.lit(0).cast("long")).alias("value")), "answers")
+    got = join_hot(keys, each, "key", hot_keys(keys, "key")).select("_w", "value")
+    return got.unionByName(asked.where("key is null").select("_w", "value")).groupBy("_w").agg(F.sum("value").alias("value"))
+
+
+def evidence(rows: DataFrame, model: Model, found: DataFrame) -> DataFrame:
+    """rows (_row, _text). _row, and n, total, most, loud of its text as in Model.evidence, of all words."""
+    sent = ship(rows.sparkSession, model)
+
+    def run(it):
+        model_ = shipped(sent)
+        for batch, data, offs in arrow_batches(it, column="_text"):
+            others = []
+            got = model_.evidence(data, offs, others)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in got.T.copy()], _by_text(others, len(got))], ["_row", *_EVIDENCE, "words"])
+
+    schema = StructType([StructField("_row", rows.schema["_row"].dataType), *[StructField(x, LongType()) for x in _EVIDENCE], StructField("words", _WORDS)])
+    at = materialize(rows.select("_row", "_text").mapInArrow(run, schema).withColumn("_at", F.monotonically_increasing_id()), "evidence")
+    # Long words go by their digests, longer than any short word.
+    name = F.when(F.length("o.word") <= 64, F.col("o.word")).otherwise(F.concat(F.substring("o.word", 1, 33), F.unhex(F.sha2("o.word", 256))))
+    held = at.select("_at", F.explode("words").alias("o")).select("_at", "o.word", "o.times", name.alias("name"))
+    words = materialize(held.select("word", "name").distinct().withColumn("_w", F.monotonically_increasing_id()), "words")
+    values = materialize(words.select("_w", "name").join(_ratios(words, sent, found), "_w").select("name", "value"), "values")
+    held = held.select("_at", "name", "times")
+    more = join_hot(held, values, "name", hot_keys(held, "name")).groupBy("_at").agg(
+        F.sum(F.col("times") * F.col("value")).alias("total_"),
+        F.max("value").alias("most_"),
+        F.sum(F.col("times") * F.greatest(F.col("value") - int(LOUD * UNIT), F.lit(0))).alias("loud_"),
+    )
+    out = at.drop("words").join(more, "_at", "left")
+    return out.select("_row", "n", F.expr("total + coalesce(total_, 0)").alias("total"), F.expr("greatest(most, coalesce(most_, 0))").alias("most"), F.expr("loud + coalesce(loud_, 0)").alias("loud"))
+
+
 def _features(evidence: np.ndarray) -> np.ndarray:
     """The log-likelihood ratio by byte, the greatest of a word's, and what loud words have above LOUD: in logs, and by byte."""
-    n, total, most, loud = evidence.T
+    n, total, most, loud = evidence.T / np.array([1, UNIT, UNIT, UNIT])[:, None]
     n = np.maximum(n, 1)
     return np.stack([np.ones(len(n)), 100 * total / n, most, np.log1p(loud), 100 * loud / n], 1)
 
@@ -232,14 +315,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 
 
 class Scorer:
-    def __init__(self, model: Model | None, b: np.ndarray | None, prior: float):
-        self.model, self.b, self.prior = model, b, prior
+    """found: key, history, ratio, freed, hot of every expression; model holds the hot ones."""
 
-    def __call__(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        if self.model is None:
-            return np.full(len(offs) - 1, self.prior)
-        z = _features(self.model.evidence(data, offs)) @ self.b
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def __init__(self, model: Model | None, found: DataFrame | None, b: np.ndarray | None, prior: float):
+        self.model, self.found, self.b, self.prior = model, found, b, prior
 
 
 def held_out(doc_id: Column) -> Column:
@@ -252,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, calibr
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
-        return Scorer(None, None, float(n.get(1, 0) > 0))
+        return Scorer(None, None, None, float(n.get(1, 0) > 0))
     prior = n[1] / (n[0] + n[1])
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = {k: calibrate_rows / max(train_rows + calibrate_rows, v) for k, v in n.items()}
@@ -262,43 +341,39 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, calibr
     counted = materialize(count(train), "expressions")
     bytes_ = counted.agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).first()
     if not bytes_["t"] or not bytes_["o"]:
-        return Scorer(None, None, prior)
-    found = models(counted, bytes_["t"], bytes_["o"])
-    found = found.select("key", (F.col("toxic") - F.col("ordinary")).cast("float").alias("ratio"), "history", (F.col("freed_toxic") - F.col("freed_ordinary")).cast("float").alias("freed")).toArrow()  # bounded by SHARE
-    histories, one = np.unique(found.column("history").to_numpy().view(np.uint64), return_index=True)
-    model = Model(found.column("key").to_numpy().view(np.uint64), found.column("ratio").to_numpy(), histories, found.column("freed").to_numpy()[one])
-    del found
-    sent = ship(docs.sparkSession, model)
-
-    def run(it):
-        model_ = shipped(sent)
-        for batch, data, offs in arrow_batches(it):
-            got = model_.evidence(data, offs)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x, pa.float64()) for x in got.T]], ["toxic", "n", "total", "most", "loud"])
-
-    new = texts.join(F.broadcast(known.where("apart")), "doc_id").select("text", F.col("toxic").cast("int"))
-    new = new.mapInArrow(run, "toxic int, n double, total double, most double, loud double").toArrow()  # bounded by calibrate_rows
-    y = new.column("toxic").to_numpy().astype(float)
+        return Scorer(None, None, None, prior)
+    found = models(counted, bytes_["t"], bytes_["o"], SHARE)
+    ratio = lambda x: F.round((F.col(f"{x}toxic") - F.col(f"{x}ordinary")) * UNIT).cast("long")
+    found = materialize(found.select("key", "history", ratio("").alias("ratio"), ratio("freed_").alias("freed"), "hot"), "models")
+    hot = found.where("hot").select("key", "ratio").toArrow()  # bounded by SHARE
+    model = Model(hot.column("key").to_numpy().view(np.uint64), hot.column("ratio").to_numpy())
+    new = texts.join(F.broadcast(known.where("apart")), "doc_id").select(F.col("toxic").cast("int").alias("_row"), F.col("text").alias("_text"))
+    new = evidence(new, model, found).toArrow()  # bounded by calibrate_rows
+    new = np.stack([new.column(i).to_numpy().astype(np.int64) for i in range(5)], 1)
+    new = new[np.lexsort(new.T)]  # the fit's sums depend on the order of rows
+    y = new[:, 0].astype(float)
     if not 0 < y.sum() < len(y):
-        return Scorer(None, None, prior)
-    x = _features(np.stack([new.column(i).to_numpy() for i in range(1, 5)], 1))
+        return Scorer(None, None, None, prior)
+    x = _features(new[:, 1:])
     weight = np.where(y == 1, n[1] / y.sum(), n[0] / (len(y) - y.sum())) * len(y) / (n[0] + n[1])
-    return Scorer(model, _logistic(x, y, weight), prior)
+    return Scorer(model, found, _logistic(x, y, weight), prior)
 
 
 def score(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs, score and predicted."""
-    sent = ship(docs.sparkSession, scorer)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
+    if scorer.model is None:
+        return docs.select(*keep, F.lit(scorer.prior).alias("score"), F.lit(int(scorer.prior >= 0.5)).alias("predicted"))
+    rows = docs.select(F.struct(*keep).alias("_row"), F.col("text").alias("_text"))
+    b = scorer.b
 
     def run(it):
-        scorer_ = shipped(sent)
-        for batch, data, offs in arrow_batches(it, column="_text"):
-            p = scorer_(data, offs)
-            cols = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
+        for batch in it:
+            z = _features(np.stack([batch.column(i).to_numpy() for i in range(1, 5)], 1)) @ b
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["_row", "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
+    schema = StructType([StructField("_row", rows.schema["_row"].dataType), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return evidence(rows, scorer.model, scorer.found).mapInArrow(run, schema).select("_row.*", "score", "predicted")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
