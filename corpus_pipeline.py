@@ -25,10 +25,12 @@ def _row(docs: DataFrame) -> Column:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Models of `labels.toxic` are fitted on the labelled documents; what they hold for toxic goes."""
+    """Models of `labels.toxic` are fitted on the labelled documents; what they hold for toxic goes. Rows don't travel through the scoring: they meet ids and digests of toxic texts."""
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    row = docs.select(_row(docs), "text")
-    return toxicity.score(row, scorer, ["_row"]).where("predicted = 0").select("_row.*")
+    key = [F.col("doc_id").alias("_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_digest")]
+    toxic = toxicity.score(docs.select(*key, "text"), scorer, ["_id", "_digest"]).where("predicted = 1").select("_id", "_digest").distinct()
+    r, t = docs.select(_row(docs), *key).alias("r"), toxic.alias("t")
+    return r.join(t, F.col("r._id").eqNullSafe(F.col("t._id")) & (F.col("r._digest") == F.col("t._digest")), "left_anti").select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from vellumtide.llm import toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +71,16 @@ def test_every_stage_on_awkward_tables(spark, awkward, tmp_path):
     none = awkward.where("false")
     for _, stage in P.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+def test_toxic_texts_go_whatever_the_size(spark, tmp_path, monkeypatch):
+    """Rare expressions count in large tables as in small ones: rows that stay don't depend on the share of the bytes above which expressions go to the executors."""
+    rows = [(None if i > 395 else i, text(20, i) + (" vilequark scummy" if i % 3 == 0 else f" fine{i % 30}"), i) for i in range(400)] + [(500, None, 500), (501, "", 501), (3, text(9, 3), 502)]
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(390) if i != 3], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long").repartition(3)
+    kept = []
+    for share in (0.0, 1.0):
+        monkeypatch.setattr(toxicity, "SHARE", share)
+        monkeypatch.setattr(toxicity.models, "__defaults__", (share,))
+        kept.append(Counter(tuple(r) for r in P.drop_toxic(spark, docs, str(tmp_path)).collect()))
+    assert kept[0] == kept[1] == Counter(r for r in rows if "vilequark" not in (r[1] or ""))

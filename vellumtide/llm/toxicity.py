@@ -345,6 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, calibr
     found = models(counted, bytes_["t"], bytes_["o"], SHARE)
     ratio = lambda x: F.round((F.col(f"{x}toxic") - F.col(f"{x}ordinary")) * UNIT).cast("long")
     found = materialize(found.select("key", "history", ratio("").alias("ratio"), ratio("freed_").alias("freed"), "hot"), "models")
+    docs.sparkSession._jvm.System.gc()  # Spark removes the shuffle files of what the JVM has collected: those of the counts are done with
     hot = found.where("hot").select("key", "ratio").toArrow()  # bounded by SHARE
     model = Model(hot.column("key").to_numpy().view(np.uint64), hot.column("ratio").to_numpy())
     new = texts.join(F.broadcast(known.where("apart")), "doc_id").select(F.col("toxic").cast("int").alias("_row"), F.col("text").alias("_text"))
