@@ -1,6 +1,7 @@
 """Every operator against a brute-force version or a known outcome, on small awkward tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -590,3 +591,14 @@ def test_rare_expressions_count_at_any_size(spark, monkeypatch):
         got.append(Counter((x["doc_id"], x["score"], x["predicted"]) for x in toxicity.score(d, s, ["doc_id"]).collect()))
     assert got[0] == got[1] == got[2] and sum(got[0].values()) == len(rows)
     assert {k[0]: k[2] for k in got[0]}[603] == 1
+
+
+def test_toxicity_deletes_what_it_has_read(spark):
+    """Of the tables that fitting and scoring write, only those that are still read stay in the shared folder."""
+    rows = [(i, prose(25, i) + (f" vilequark odd{i}" if i % 3 == 0 else f" fine{i % 40}")) for i in range(300)]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    written = lambda: set(os.listdir(kit.shared_dir(spark).removeprefix("file://")))
+    before = written()
+    got = toxicity.score(d, toxicity.fit(d, l, 300, 100), ["doc_id"])
+    assert Counter(x.rsplit("-", 1)[1] for x in written() - before if x.startswith("vellumtide-")) == {"models": 1, "evidence": 2, "values": 2}
+    assert got.count() == len(rows)

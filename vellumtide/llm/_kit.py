@@ -32,17 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and survives lost executors."""
+def materialize(df: DataFrame, label: str, made: list | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there and survives lost executors. The folder's name is added to `made`, for `discard`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vellumtide-{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, made: list) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark remove the shuffle files of plans that are done with."""
+    jvm = spark._jvm
+    while made:
+        where = jvm.org.apache.hadoop.fs.Path(made.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    jvm.System.gc()  # shuffle files go with the plans that the JVM collects
+
+
 def tasks(docs: DataFrame, most: int = 128 << 20) -> int:
     """Partitions for a shuffle of what docs are made into: the session's number, and at least one for every `most` bytes of docs' files."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -62,6 +73,12 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     return per.where(F.col("_m") > F.lit(max(2.0, HOT_SHARE * whole)))
 
 
+def hot_of(counted: DataFrame, key: str) -> DataFrame:
+    """As hot_keys, of a written table that holds the number of rows of each key (_m): no key is shuffled again."""
+    whole = counted.agg(F.sum("_m")).first()[0] or 0
+    return counted.where(F.col("_m") > F.lit(max(2.0, HOT_SHARE * whole))).select(key, "_m")
+
+
 def join_hot(rows: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """Inner join of rows with small (narrow, one row a key): rows of hot keys by broadcast of small's rows of those keys, the others by key."""
     few = F.broadcast(small.join(F.broadcast(hot.select(key)), key, "left_semi"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from vellumtide.llm._kit import U, arrow_batches, hot_keys, join_hot, materialize, mix, pieces, row_chunks, ship, shipped, table
+from vellumtide.llm._kit import U, arrow_batches, discard, hot_of, join_hot, materialize, mix, pieces, row_chunks, ship, shipped, table
 
 #: Bytes of an expression: a byte and its history.
 ORDER = 8
@@ -130,8 +130,8 @@ def _history(key: Column) -> Column:
     return F.shiftrightunsigned(key, 8)
 
 
-def shared(counted: DataFrame) -> DataFrame:
-    """key, p: S of every expression without its first symbol, for all lengths. All expressions of one history (at most 256) meet in a window, never more."""
+def shared(counted: DataFrame, made: list | None = None) -> DataFrame:
+    """key, p: S of every expression without its first symbol, for all lengths. All expressions of one history (at most 256) meet in a window, never more. `made` gets what is written."""
     size = F.floor(F.length(F.hex("key")) / 2)  # bytes: a mark is one further digit
     top = counted.select("key", size.alias("size"))
     levels: dict[int, DataFrame] = {}
@@ -139,19 +139,19 @@ def shared(counted: DataFrame) -> DataFrame:
     for n in range(ORDER - 1, 0, -1):
         # A beginning has nothing before it but its mark: one different expression, like any other that is one symbol longer.
         further = longer.unionByName(top.where(F.col("size") == n).select("key"))
-        levels[n] = materialize(further.groupBy(_low(F.col("key"), n).alias("key")).agg(F.count("*").alias("c")), "continuations")
+        levels[n] = materialize(further.groupBy(_low(F.col("key"), n).alias("key")).agg(F.count("*").alias("c")), "continuations", made)
         longer = levels[n].select("key")
     out, below = None, None
     for n in range(1, ORDER):
         of = Window.partitionBy(_history(F.col("key")))
         lev = levels[n].withColumn("all", F.sum("c").over(of)).withColumn("freed", F.sum(F.least("c", F.lit(DISCOUNT))).over(of))
         lev = lev.withColumn("p", F.lit(1 / 256)) if below is None else lev.withColumn("k", _low(F.col("key"), n - 1)).join(below.select(F.col("key").alias("k"), "p"), "k")
-        below = materialize(lev.select("key", ((F.greatest(F.col("c") - F.lit(DISCOUNT), F.lit(0.0)) + F.col("freed") * F.col("p")) / F.col("all")).alias("p")), "shared")
+        below = materialize(lev.select("key", ((F.greatest(F.col("c") - F.lit(DISCOUNT), F.lit(0.0)) + F.col("freed") * F.col("p")) / F.col("all")).alias("p")), "shared", made)
         out = below if out is None else out.unionByName(below)
     return out
 
 
-def models(counted: DataFrame, n_toxic: int, n_ordinary: int, share: float = SHARE) -> DataFrame:
+def models(counted: DataFrame, n_toxic: int, n_ordinary: int, share: float = SHARE, *, made: list | None = None) -> DataFrame:
     """key, history, toxic, ordinary (log probabilities of both models), freed_toxic and freed_ordinary (logs of lambda) of every expression; hot: whether it is `share` of a class's bytes."""
     of = Window.partitionBy("history")
     c = counted.withColumn("history", _history(F.col("key"))).withColumn("hot", (F.col("toxic") >= max(1.0, share * n_toxic)) | (F.col("ordinary") >= max(1.0, share * n_ordinary)))
@@ -163,7 +163,7 @@ def models(counted: DataFrame, n_toxic: int, n_ordinary: int, share: float = SHA
     suffix = _low(F.col("key"), ORDER - 1)
     for n in range(1, ORDER - 1):
         suffix = F.when(size == n, _low(F.col("key"), n)).otherwise(suffix)
-    c = c.withColumn("k", suffix).join(shared(counted).select(F.col("key").alias("k"), "p"), "k")
+    c = c.withColumn("k", suffix).join(shared(counted, made).select(F.col("key").alias("k"), "p"), "k")
     logs = [F.log(F.col(f"own_{x}") + F.col(f"freed_{x}") * F.col("p")).alias(x) for x in ("toxic", "ordinary")]
     return c.select("key", "history", *logs, *[F.log(f"freed_{x}").alias(f"freed_{x}") for x in ("toxic", "ordinary")], "hot")
 
@@ -257,21 +257,25 @@ def _asked(sent):
     return run
 
 
-def _ratios(words: DataFrame, sent, found: DataFrame) -> DataFrame:
-    """_w, value: the log-likelihood ratio of every word (_w, word). An expression that no class holds has the ratio of the masses freed at its history; 0 where that is unknown too."""
-    asked = materialize(words.select("_w", "word").mapInArrow(_asked(sent), "_w long, key long, value long"), "asked")
+def _ratios(words: DataFrame, sent, found: DataFrame, written: list) -> DataFrame:
+    """_w, value: the log-likelihood ratio of every word (_w, word). An expression that no class holds has the ratio of the masses freed at its history; 0 where that is unknown too. `written` gets what the result is read from."""
+    spark, made = words.sparkSession, []
+    asked = materialize(words.select("_w", "word").mapInArrow(_asked(sent), "_w long, key long, value long"), "asked", made)
     keys = asked.where("key is not null").select("_w", "key")
-    each = keys.select("key").distinct().withColumn("history", _history(F.col("key")))
+    each = keys.groupBy("key").agg(F.count("*").alias("_m")).withColumn("history", _history(F.col("key")))
     freed = found.groupBy("history").agg(F.max("freed").alias("freed"))
     each = each.join(found.where("not hot").select("key", "ratio"), "key", "left").join(freed, "history", "left")
-    each = materialize(each.select("key", F.coalesce("ratio", "freed", F.lit(0).cast("long")).alias("value")), "answers")
-    got = join_hot(keys, each, "key", hot_keys(keys, "key")).select("_w", "value")
-    return got.unionByName(asked.where("key is null").select("_w", "value")).groupBy("_w").agg(F.sum("value").alias("value"))
+    each = materialize(each.select("key", "_m", F.coalesce("ratio", "freed", F.lit(0).cast("long")).alias("value")), "answers", made)
+    discard(spark, [])
+    got = join_hot(keys, each, "key", hot_of(each, "key")).select("_w", "value")
+    out = materialize(got.unionByName(asked.where("key is null").select("_w", "value")).groupBy("_w").agg(F.sum("value").alias("value")), "ratios", written)
+    discard(spark, made)
+    return out
 
 
 def evidence(rows: DataFrame, model: Model, found: DataFrame) -> DataFrame:
     """rows (_row, _text). _row, and n, total, most, loud of its text as in Model.evidence, of all words."""
-    sent = ship(rows.sparkSession, model)
+    sent, made = ship(rows.sparkSession, model), []
 
     def run(it):
         model_ = shipped(sent)
@@ -285,10 +289,12 @@ def evidence(rows: DataFrame, model: Model, found: DataFrame) -> DataFrame:
     # Long words go by their digests, longer than any short word.
     name = F.when(F.length("o.word") <= 64, F.col("o.word")).otherwise(F.concat(F.substring("o.word", 1, 33), F.unhex(F.sha2("o.word", 256))))
     held = at.select("_at", F.explode("words").alias("o")).select("_at", "o.word", "o.times", name.alias("name"))
-    words = materialize(held.select("word", "name").distinct().withColumn("_w", F.monotonically_increasing_id()), "words")
-    values = materialize(words.select("_w", "name").join(_ratios(words, sent, found), "_w").select("name", "value"), "values")
+    words = materialize(held.groupBy("word", "name").agg(F.count("*").alias("_m")).withColumn("_w", F.monotonically_increasing_id()), "words", made)
+    discard(rows.sparkSession, [])
+    values = materialize(words.select("_w", "name", "_m").join(_ratios(words, sent, found, made), "_w").select("name", "_m", "value"), "values")
+    discard(rows.sparkSession, made)
     held = held.select("_at", "name", "times")
-    more = join_hot(held, values, "name", hot_keys(held, "name")).groupBy("_at").agg(
+    more = join_hot(held, values, "name", hot_of(values, "name")).groupBy("_at").agg(
         F.sum(F.col("times") * F.col("value")).alias("total_"),
         F.max("value").alias("most_"),
         F.sum(F.col("times") * F.greatest(F.col("value") - int(LOUD * UNIT), F.lit(0))).alias("loud_"),
@@ -338,14 +344,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, calibr
     known = known.withColumn("apart", part < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     texts = docs.select("doc_id", "text").where("text is not null")
     train = texts.join(known.where("not apart").hint("merge"), "doc_id").select("text", "toxic")  # labels grow with the documents: never broadcast
-    counted = materialize(count(train), "expressions")
+    spark, made = docs.sparkSession, []
+    counted = materialize(count(train), "expressions", made)
+    discard(spark, [])
     bytes_ = counted.agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).first()
     if not bytes_["t"] or not bytes_["o"]:
         return Scorer(None, None, None, prior)
-    found = models(counted, bytes_["t"], bytes_["o"], SHARE)
+    found = models(counted, bytes_["t"], bytes_["o"], SHARE, made=made)
     ratio = lambda x: F.round((F.col(f"{x}toxic") - F.col(f"{x}ordinary")) * UNIT).cast("long")
     found = materialize(found.select("key", "history", ratio("").alias("ratio"), ratio("freed_").alias("freed"), "hot"), "models")
-    docs.sparkSession._jvm.System.gc()  # Spark removes the shuffle files of what the JVM has collected: those of the counts are done with
+    discard(spark, made)
     hot = found.where("hot").select("key", "ratio").toArrow()  # bounded by SHARE
     model = Model(hot.column("key").to_numpy().view(np.uint64), hot.column("ratio").to_numpy())
     new = texts.join(F.broadcast(known.where("apart")), "doc_id").select(F.col("toxic").cast("int").alias("_row"), F.col("text").alias("_text"))
