@@ -602,3 +602,26 @@ def test_toxicity_deletes_what_it_has_read(spark):
     got = toxicity.score(d, toxicity.fit(d, l, 300, 100), ["doc_id"])
     assert Counter(x.rsplit("-", 1)[1] for x in written() - before if x.startswith("vellumtide-")) == {"models": 1, "evidence": 2, "values": 2}
     assert got.count() == len(rows)
+
+
+def test_mixing_deals_rows_once(spark):
+    """Join and window deal whole rows alike: one exchange carries them there, one sorts them by position."""
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(i, ["a", "", None, "n"][i % 4], "some words " * (i % 5)) for i in range(60)], "doc_id long, source string, text string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "false")):
+            spark.conf.set(k, v)
+        plan = mixing.curriculum_stream(d)._jdf.queryExecution().executedPlan()
+        wide, todo = 0, [plan]
+        while todo:
+            p = todo.pop()
+            wide += p.nodeName() == "Exchange" and "_row" in p.output().mkString(",")
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert wide == 2
+    got = {(r["source"], r["source_size"]) for r in mixing.mix_sizes(d.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))).collect()}
+    assert len(got) == 4

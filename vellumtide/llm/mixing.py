@@ -83,17 +83,18 @@ def mix_sizes(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     Every document of a source is taken floor(target / source_size) times, and the first of the hash order once more,
     until the source's target is met to within half a document."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    base = rows.select("doc_id", "source", "size", *carry).withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
+    # One plain key of every source, null too: the join and the window then deal rows alike, so that they travel once.
+    name = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce(F.col("source").cast("string"), F.lit("")))
+    base = rows.select("doc_id", "source", "size", *carry).withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits)).withColumn("_s", name)
     sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(run), F.lit(0)))
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     s, t = sums.alias("s"), targets.alias("t")
-    offs = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "bucket", "before", "source_size", "slot", "target")
-    b, o = base.alias("b"), offs.alias("o")
-    j = b.join(o, F.col("b.source").eqNullSafe(F.col("o.source")) & (F.col("b.bucket") == F.col("o.bucket")))
-    j = j.select("doc_id", "b.source", "size", "key", "b.bucket", "before", "source_size", "slot", "target", *carry)
-    inner = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    offs = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select(F.col("s.source"), "bucket", "before", "source_size", "slot", "target")
+    offs = offs.withColumn("_s", name).drop("source")
+    j = base.join(offs, ["_s", "bucket"])
+    inner = Window.partitionBy("_s", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     cum = F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     j = j.withColumn("cum", cum).withColumn("whole", F.floor(ratio + F.lit(1e-12)).cast("int"))
