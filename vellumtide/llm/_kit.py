@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -51,7 +53,10 @@ def discard(spark: SparkSession, made: list) -> None:
     while made:
         where = jvm.org.apache.hadoop.fs.Path(made.pop())
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    jvm.System.gc()  # shuffle files go with the plans that the JVM collects
+    for pause in (0.3, 0):  # shuffle files go with the plans that the JVM collects, once nothing in Python or in Spark's own queues holds them
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(pause)
 
 
 def tasks(docs: DataFrame, most: int = 128 << 20) -> int:
