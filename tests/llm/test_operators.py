@@ -227,6 +227,31 @@ def test_ann(spark):
     assert annindex.search(none, none, 20).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_ann_where_many_rows_are_nearly_as_near(spark, metric):
+    rng = np.random.default_rng(3)
+    near = (rng.normal(size=(3, 16))[:, None] + 1e-4 * rng.normal(size=(3, 1200, 16))).reshape(-1, 16)
+    x = np.concatenate([near, np.repeat(rng.normal(size=(1, 16)) * 9, 700, 0), rng.normal(size=(500, 16)) * 10 ** rng.uniform(-9, 3, (500, 1))])[rng.permutation(4800)]
+    v = annindex.usable(spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = {}
+    for r in annindex.search(v, v.where("vec_id % 20 = 0"), 20, metric=metric).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q in range(0, 4800, 20):
+        s = (x * x[q]).sum(1) if metric == "ip" else -((x - x[q]) ** 2).sum(1)
+        s[q] = -np.inf
+        assert [got[q][k] for k in range(1, 21)] == list(np.lexsort((np.arange(4800), -s))[:20])
+
+
+def test_ann_of_rows_that_codebooks_tell_little_of(spark):
+    x = np.random.default_rng(4).normal(size=(2500, 500)).astype(np.float32).astype(float)
+    v = annindex.usable(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in annindex.search(v, v.where("vec_id % 100 = 0"), 20).collect()}
+    for q in range(0, 2500, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [got[q, k] for k in range(1, 21)] == list(np.lexsort((np.arange(2500), -s))[:20])
+
+
 def test_warc(spark, tmp_path):
     rows = [(i, f"http://h/{i}", f"<p>\u00e9{i}</p>" * (i % 7)) for i in range(0, 9000, 3)] + [(None, None, None), (None, "a\r\nb", "z"), (6, "twice", "x"), (6, "twice", "x"), (2**60 + 64, "far", "y")]
     p = spark.createDataFrame(rows, "page_id long, url string, html string")
