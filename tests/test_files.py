@@ -332,3 +332,56 @@ def test_handle(spark, tmp_path):
         handle.open(spark)
     (p,) = raster.pixmaps(spark.createDataFrame([("x", bytearray(three()))], "doc_id string, content binary"), pages=[0], clip=(0, 0, 20, 10)).collect()
     assert (p["width"], p["height"], p["n"], p["stride"], len(p["samples"])) == (20, 10, 4, 80, 800)
+
+
+def flat_operators(glyphs):
+    """What the operators on pages give for a flat page, and what the plain loops give for it."""
+    from vellumtide.operators import markdown
+    from vellumtide.operators.flat import FlatPage
+
+    page, made = FlatPage.of(glyphs), []
+
+    class Catch:
+        def per_page_columns(self, make, columns):
+            made.append(make)
+
+    pages, keep = Catch(), layout.PageSource.of
+    layout.PageSource.of = staticmethod(lambda p: p)
+    try:
+        for f in (layout.words, layout.blocks, layout.spans, layout.page_text, layout.lines, layout.line_segments, lambda p: layout.search(p, "o W"), lambda p: layout.search(p, "aa")):
+            f(pages)
+    finally:
+        layout.PageSource.of = keep
+    plain = lambda v: v.to_pylist() if hasattr(v, "to_pylist") else v.tolist() if hasattr(v, "tolist") else list(v)
+    rows = lambda got: list(zip(*map(plain, got))) if got is not None else []
+    fast = [rows(m({"glyphs": glyphs})) for m in made] + [markdown.page_markdown(markdown._Laid.of(glyphs), {20.0: 1}), list(markdown._Laid.of(glyphs).counts.items())]
+    of, FlatPage.of = FlatPage.of, classmethod(lambda cls, g: None)
+    try:
+        slow = [rows(m({"glyphs": glyphs})) for m in made] + [markdown.page_markdown(markdown._Laid.of(glyphs), {20.0: 1}), list(markdown._Laid.of(glyphs).counts.items())]
+    finally:
+        FlatPage.of = of
+    return page, fast, slow
+
+
+def test_flat_pages_are_laid_out_like_any_other():
+    import random
+
+    r, flat = random.Random(5), 0
+    for trial in range(120):
+        cols: list[list] = [[] for _ in range(11)]
+        two, jitter = trial % 3 == 0, trial % 4 == 1
+        for n in range(r.randint(0, 14)):
+            x, y = (40.0 if not two or n % 2 else 400.0) + r.choice((0, 0, 3.3)), 12.0 * (n // 2 if two else n) + 12 + r.choice((0, 0, 0.7, 30))
+            for c in "".join(r.choice(("aa", "Wo", " ", "  ", "word", "é", "日本", "İ", "Σ", "　", "- ", "1. ")) for _ in range(r.randint(0, 9))):
+                size = r.choice((10.0, 10.0, 10.0, 20.0, 10.05, 0.5)) if jitter else (10.0 if n else 20.0)
+                for col, v in zip(cols, (c, x, y + (r.choice((0, 0.2, 4.9, 5.3)) if jitter else 0), size, size / 2, 1.0, 0.0, 0, r.choice("FFFFG") if trial % 5 == 2 else "F", "Font", r.choice((0, 0, 16)) if trial % 5 == 2 else 0)):
+                    col.append(v)
+                x += size / 2 + r.choice((0, 0, 0, 0, 1.0, 2.2, 25.0, -3.0 if jitter else 0))
+        names = ("text", "x", "y", "size", "advance", "dir_x", "dir_y", "wmode", "font_key", "font", "flags")
+        if trial % 7 == 3:
+            order = r.sample(range(len(cols[0])), len(cols[0]))
+            cols = [[c[i] for i in order] for c in cols]
+        page, fast, slow = flat_operators(dict(zip(names, cols)))
+        flat += page is not None
+        assert fast == slow, trial
+    assert flat > 80

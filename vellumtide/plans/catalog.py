@@ -15,6 +15,7 @@ from vellumtide.functions import geometry as G
 from vellumtide.functions import text as T
 from vellumtide.operators import layout, markdown, pageset, structure, tables
 from vellumtide.sources import readers, typesetter
+from vellumtide.sources.filesource import FileSource
 from vellumtide.sources.pagesource import PageSource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -522,18 +523,15 @@ def pdf_open(spark, sf_dir):
     return p.per_page(lambda row: [(row["page_count"], len(row["glyphs"]["text"]))], "pages int, glyphs long", ["pages", "glyphs"]).drop("pno")
 
 
-def _inspected(files: DataFrame, make, columns: str) -> DataFrame:
+def _inspected(files: FileSource, make, columns: str) -> DataFrame:
     """make(outline) gives one tuple for a file."""
-    names = [c.split()[0] for c in columns.split(", ")]
+    from vellumtide.sources.inspect import Outline
+    from vellumtide.sources.pdfobjects import Pdf
 
-    def run(it):
-        from vellumtide.sources.inspect import Outline
-        from vellumtide.sources.pdfobjects import Pdf
+    def one(data):
+        yield make(Outline(Pdf(data)))
 
-        for pdf in it:
-            yield pd.DataFrame([(d, *make(Outline(Pdf(bytes(c))))) for d, c in zip(pdf["doc_id"], pdf["content"], strict=True)], columns=["doc_id", *names])
-
-    return files.select("doc_id", "content").mapInPandas(run, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, {columns}")
+    return files.rows_of(one, columns)
 
 
 @query("""SELECT doc_id, 2::INT AS pages, length(replace(text, chr(10), '')) + 5 * (2 - page) AS glyphs, (page - 1)::INT AS pno FROM documents, (VALUES (1), (2)) v(page)""")
@@ -647,7 +645,7 @@ def structure_roundtrip(spark, sf_dir):
 @query("""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'PdfFault: no PDF header' END AS error FROM documents""")
 def error_column(spark, sf_dir):
     """Every tenth file is damaged: faults are rows, not failures."""
-    f = typesetter.files(docs(spark, sf_dir))
+    f = typesetter.files(docs(spark, sf_dir)).rows()
     f = f.withColumn("content", F.when(F.col("doc_id") % 10 == 0, F.lit(b"junk")).otherwise(F.col("content")))
     return readers.peek(f).select("doc_id", "error")
 
@@ -655,14 +653,13 @@ def error_column(spark, sf_dir):
 @query("""SELECT doc_id, strlen(text) > 2000 AS stopped FROM documents""")
 def bomb_guard(spark, sf_dir):
     """Texts as compressed streams, decoded under a limit of 2000 bytes."""
+    from vellumtide.errors import PdfFault
+    from vellumtide.sources.pdfobjects import inflate
 
     @F.pandas_udf("boolean")
     def stopped(text: pd.Series) -> pd.Series:
         import zlib
 
-        from vellumtide.errors import PdfFault
-        from vellumtide.sources.pdfobjects import inflate
-
         def one(t):
             try:
                 inflate(zlib.compress((t or "").encode()), 2000)
@@ -681,7 +678,7 @@ def merge_files(spark, sf_dir):
     from vellumtide.operators import editing
 
     group = (F.col("doc_id") - F.pmod("doc_id", F.lit(10))) / 10
-    merged = editing.merge_files(typesetter.files(docs(spark, sf_dir)).withColumn("into", group.cast("long")), "into", deflate=True, object_streams=True)
+    merged = editing.merge_files(typesetter.files(docs(spark, sf_dir)).rows().withColumn("into", group.cast("long")), "into", deflate=True, object_streams=True)
     p = readers.parse(merged)
     return p.per_page(lambda row: [(row["page_count"], len(row["glyphs"]["text"]))], "pages int, glyphs long", ["pages", "glyphs"]).groupBy("doc_id").agg(F.max("pages").alias("pages"), F.sum("glyphs").alias("glyphs"))
 

@@ -6,12 +6,12 @@ read gives one row with its `error`.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumtide.errors import PasswordRefused, PdfFault
 from vellumtide.schema import PEEK_ROW
+from vellumtide.sources.filesource import FileSource
 from vellumtide.sources.pagesource import PageSource
 from vellumtide.sources.pdfobjects import Pdf
 from vellumtide.sources.pdfpage import Page, info
@@ -33,7 +33,7 @@ def page_rows(doc_id, data: bytes, password: str | None = None, limit: int | Non
             got = Page(pdf, p)
             row |= {
                 "width": got.frame.width, "height": got.frame.height, "rotation": got.frame.rotation,
-                "glyphs": dict(zip(("text", "x", "y", "size", "advance", "dir_x", "dir_y", "wmode", "font_key", "font", "flags"), (list(c) for c in zip(*got.glyphs)) if got.glyphs else ([] for _ in range(11)))),
+                "glyphs": got.columns(),
                 "rules": [dict(zip(("x0", "y0", "x1", "y1", "horizontal"), r)) for r in got.rules],
                 "images": [{"width": w, "height": h, "bbox": dict(zip(("x0", "y0", "x1", "y1"), b)), "ext": e, "image": d} for w, h, b, e, d in got.images],
                 "error": "; ".join(dict.fromkeys(got.warnings)) or None,
@@ -44,13 +44,15 @@ def page_rows(doc_id, data: bytes, password: str | None = None, limit: int | Non
     return out or [blank]
 
 
-def parse(content: DataFrame, password: str | None = None, limit: int | None = None) -> PageSource:
+def parse(content: FileSource | DataFrame, password: str | None = None, limit: int | None = None) -> PageSource:
     """content: doc_id, content (binary). The pages of all documents."""
+    source = FileSource.of(content)
+    make = source.make
 
     def expand(record):
-        yield from page_rows(record["doc_id"], bytes(record["content"] or b""), password, limit)
+        yield from page_rows(record["doc_id"], make(record)[0] or b"", password, limit)
 
-    return PageSource(content.select("doc_id", "content"), expand)
+    return PageSource(source.df, expand)
 
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
@@ -64,20 +66,15 @@ def read_pdf(spark: SparkSession, path: str, password: str | None = None, limit:
     return parse(pdf_files(spark, path), password, limit)
 
 
-def peek(content: DataFrame, password: str | None = None) -> DataFrame:
+def peek(content: FileSource | DataFrame, password: str | None = None) -> DataFrame:
     """Metadata, page count, version and state of encryption, with no page interpreted."""
 
-    def one(doc, data):
+    def one(data):
         try:
-            pdf = Pdf(bytes(data or b""), password)
+            pdf = Pdf(data or b"", password)
             n = None if pdf.is_encrypted else len(pdf.pages())
-            return {"doc_id": doc, "version": pdf.version, "page_count": n, "encrypted": pdf.is_encrypted, "needs_pass": pdf.needs_pass, "metadata": {} if pdf.is_encrypted else info(pdf), "error": None}
+            yield pdf.version, n, pdf.is_encrypted, pdf.needs_pass, {} if pdf.is_encrypted else info(pdf), None
         except (PdfFault, ValueError, TypeError, KeyError, IndexError, AttributeError) as e:
-            return {"doc_id": doc, "version": None, "page_count": None, "encrypted": None, "needs_pass": None, "metadata": None, "error": f"{type(e).__name__}: {e}"}
+            yield None, None, None, None, None, f"{type(e).__name__}: {e}"
 
-    def run(it):
-        for pdf in it:
-            yield pd.DataFrame([one(d, c) for d, c in zip(pdf["doc_id"], pdf["content"], strict=True)])
-
-    kind = content.schema["doc_id"].dataType.simpleString()
-    return content.select("doc_id", "content").mapInPandas(run, f"doc_id {kind}, {PEEK_ROW}")
+    return FileSource.of(content).rows_of(one, PEEK_ROW)
