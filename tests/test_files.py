@@ -410,3 +410,26 @@ def test_strings_set_at_once_are_set_like_single_characters(monkeypatch):
             m.setattr(pdfpage, "_TEXT_LINE", re.compile(rb"(?!)"))
             slow = Page(pdf := Pdf(data), pdf.pages()[0]).glyphs
         assert repr(fast) == repr(slow), trial
+
+
+def test_files_take_one_pass_and_leave_in_small_batches(spark):
+    from vellumtide.plans import catalog
+    from vellumtide.sources.pagesource import CHARACTERS, arrow_schema, batches
+
+    for name, most in (("insert_text", 1), ("show_page", 1), ("ocr_layer", 1), ("structure_roundtrip", 1), ("render_png", 1), ("merge_files", 3)):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") + plan.count("MapInPandas") + plan.count("FlatMapGroupsInPandas") == most, name
+    rows = (((i,), [["x"] * 3], CHARACTERS) for i in range(9))
+    got = list(batches(rows, arrow_schema("doc_id long, t string")))
+    assert len(got) > 3 and sum(b.num_rows for b in got) == 27
+
+
+def test_common_pages_make_no_object_a_glyph(monkeypatch):
+    from vellumtide.operators.flat import FlatPage
+    from vellumtide.sources import typesetter
+
+    monkeypatch.setattr(layout, "Glyph", None)
+    page = FlatPage.of(typesetter.set_page("one two\nthree")[0])
+    assert page.words()[1].to_pylist() == ["one", "two", "three"] and page.line_texts() == ["one two", "three"]
+    (row,) = page_rows("d", text_document([[(40, 20, 10, "a long enough line (x)")]]))
+    assert FlatPage.of(row["glyphs"]).line_texts() == ["a long enough line (x)"]
