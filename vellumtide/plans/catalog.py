@@ -576,8 +576,10 @@ def insert_image(spark, sf_dir):
     from vellumtide.operators import editing
     from vellumtide.sources.pdfpage import png, unpng
 
+    picture = png(2, 3, bytes([0, 255, 0] * 6), 3)
+
     def change(d):
-        editing.insert_image(d, 0, (100, 20, 120, 50), png(2, 3, bytes([0, 255, 0] * 6), 3))
+        editing.insert_image(d, 0, (100, 20, 120, 50), picture)
 
     def image(row):
         (got,) = row["images"]
@@ -592,8 +594,10 @@ def show_page(spark, sf_dir):
     from vellumtide.operators import editing
     from vellumtide.sources.pdfwriter import Draft, text_document
 
+    inner = Draft(text_document([[(40, 20, 20, "inner")]]))
+
     def change(d):
-        editing.show_page(d, 0, (300, 5, 400, 30), Draft(text_document([[(40, 20, 20, "inner")]])))
+        editing.show_page(d, 0, (300, 5, 400, 30), inner)
 
     return _edited(spark, sf_dir, change, lambda row: (len(row["glyphs"]["text"]), "".join(row["glyphs"]["text"][-5:])), "glyphs long, tail string")
 
